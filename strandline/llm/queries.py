@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, mixing, substrings
 
 QUERIES = {
+    "op1_substring_dedup": substrings.op1_substring_dedup,
     "op6_source_mix": mixing.op6_source_mix,
     "op8_chat_format": chat.op8_chat_format,
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": substrings.OP1_SQL,
     "op6_source_mix": mixing.OP6_SQL,
     "op8_chat_format": chat.OP8_SQL,
 }
