@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, substrings
+from . import chat, jaccard, mixing, substrings
 
 QUERIES = {
+    "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op6_source_mix": mixing.op6_source_mix,
     "op8_chat_format": chat.op8_chat_format,
 }
 
 ORACLE_SQL = {
+    "op2_ngram_jaccard": jaccard.OP2_SQL,
     "op1_substring_dedup": substrings.OP1_SQL,
     "op6_source_mix": mixing.OP6_SQL,
     "op8_chat_format": chat.OP8_SQL,

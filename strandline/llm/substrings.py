@@ -28,30 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, words
+from .packing import by_bucket, pack, split_by, unpack, unzip_bytes, zip_bytes
 
 _NO_ID = -(1 << 63)
 _PACKED = "bucket long, strings binary, doc binary, tie binary, start binary"
-_CODEC = pa.Codec("zstd", compression_level=3)
-
-
-def _zip(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True)
-
-
-def _unzip(data: bytes) -> bytes:
-    size = int.from_bytes(data[:8], "little")
-    return _CODEC.decompress(data[8:], size, asbytes=True) if size else b""
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Differences, byte plane by byte plane: near-sorted integers shrink to little."""
-    return _zip(np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(len(values), -1).T.tobytes())
-
-
-def _unpack(data: bytes, dtype: type) -> np.ndarray:
-    raw = np.frombuffer(_unzip(data), np.uint8)
-    width = np.dtype(dtype).itemsize
-    return np.cumsum(np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel(), dtype=dtype)
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -115,16 +95,15 @@ def _deal(window: int, seed: int, buckets: int):
                 same = known & (doc[owner[firsts]] == doc[owner]) & (tie[owner[firsts]] == tie[owner]) & (start[firsts] == start)
                 bucket = (least % np.uint64(buckets)).astype(np.int64)
                 out, travels = [], mine[~known]
-                travels = travels[np.argsort(bucket[travels], kind="stable")]
-                for group in np.split(travels, np.flatnonzero(np.diff(bucket[travels])) + 1):
-                    if len(group):
-                        own = owner[group]
-                        out.append((int(bucket[group[0]]), _zip(b"\n".join([strings[i] for i in group.tolist()])), _pack(doc[own]), _pack(tie[own]), _pack(start[group].astype(np.int32))))
+                for b, found in split_by(bucket[travels]):
+                    group = travels[found]
+                    own = owner[group]
+                    out.append((b, zip_bytes(b"\n".join([strings[i] for i in group.tolist()])), pack(doc[own]), pack(tie[own]), pack(start[group].astype(np.int32))))
                 settled = mine[known & ~same]
                 if len(settled):
                     own = owner[settled]
                     ends = np.array([strings[i].count(b" ") + 1 for i in settled.tolist()], np.int32) + start[settled].astype(np.int32)
-                    out.append((-1 - int(bucket[settled[0]]), _pack(ends), _pack(doc[own]), _pack(tie[own]), _pack(start[settled].astype(np.int32))))
+                    out.append((-1 - int(bucket[settled[0]]), pack(ends), pack(doc[own]), pack(tie[own]), pack(start[settled].astype(np.int32))))
                 if out:
                     yield _rows(out)
 
@@ -169,30 +148,17 @@ def _sort_buckets(window: int):
     """Reduce side: rows come sorted by bucket; one bucket is in memory at a time."""
 
     def settle(rows: list[dict]) -> pa.RecordBatch | None:
-        doc, tie = (np.concatenate([_unpack(r[k], np.int64) for r in rows]) for k in ("doc", "tie"))
-        start = np.concatenate([_unpack(r["start"], np.int32) for r in rows])
+        doc, tie = (np.concatenate([unpack(r[k], np.int64) for r in rows]) for k in ("doc", "tie"))
+        start = np.concatenate([unpack(r["start"], np.int32) for r in rows])
         if rows[0]["bucket"] < 0:
-            found = doc, tie, start, np.concatenate([_unpack(r["strings"], np.int32) for r in rows])
+            found = doc, tie, start, np.concatenate([unpack(r["strings"], np.int32) for r in rows])
         else:
-            found = _repeats(b"\n".join(_unzip(r["strings"]) for r in rows).split(b"\n"), doc, tie, start, window)
+            found = _repeats(b"\n".join(unzip_bytes(r["strings"]) for r in rows).split(b"\n"), doc, tie, start, window)
         if found is None:
             return None
         return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2].astype(np.int32)), pa.array(found[3].astype(np.int32))], ["d", "t", "s", "e"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                if rows and row["bucket"] != rows[0]["bucket"]:
-                    if (out := settle(rows)) is not None:
-                        yield out
-                    rows = []
-                rows.append(row)
-        if rows and (out := settle(rows)) is not None:
-            yield out
-
-    return run
+    return by_bucket(settle)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
