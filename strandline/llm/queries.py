@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, mixing, substrings
+from . import chat, decontaminate, jaccard, mixing, substrings
 
 QUERIES = {
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op6_source_mix": mixing.op6_source_mix,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op9_decontaminate": decontaminate.OP9_SQL,
     "op2_ngram_jaccard": jaccard.OP2_SQL,
     "op1_substring_dedup": substrings.OP1_SQL,
     "op6_source_mix": mixing.OP6_SQL,
