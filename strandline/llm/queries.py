@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, mixing, substrings
+from . import chat, decontaminate, jaccard, katz, mixing, substrings
 
 QUERIES = {
+    "op10_katz_score": katz.op10_katz_score,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op1_substring_dedup": substrings.op1_substring_dedup,
