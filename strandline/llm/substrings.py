@@ -196,7 +196,7 @@ def repeated_ranges(docs: DataFrame, window: int = 20, seed: int = 6, *, id_col:
     """Rows ``d, t, s, e``: words s to e - 1 of document (d, t) are covered by windows that start earlier."""
     d, t = keys or _keys(docs, id_col, text)
     rows = docs.select(d.alias("d"), t.alias("t"), F.col(text).cast("string").alias("text")).where("text is not null")
-    buckets = common.parts_for(docs.select(text), 6)
+    buckets = common.parts_for(docs.select(text), 6, 8 << 20)
     dealt = rows.mapInArrow(_deal(window, seed, buckets), _PACKED)
     by_bucket = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return by_bucket.mapInArrow(_sort_buckets(window), "d long, t long, s int, e int")

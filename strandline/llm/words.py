@@ -14,7 +14,7 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a single longer text makes a chunk of its own.
 CHUNK_BYTES = 4 << 20
-_HASH_BLOCK = 4 << 20
+_HASH_BLOCK = 1 << 20
 
 #: `[^\x20\x09-\x0D]+`
 SPACE = np.zeros(256, bool)
