@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, katz, mixing, substrings
+from . import chat, decontaminate, jaccard, katz, langid, mixing, quality, substrings
 
 QUERIES = {
+    "op3_quality_rank": quality.op3_quality_rank,
+    "op4_language_id": langid.op4_language_id,
     "op10_katz_score": katz.op10_katz_score,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
