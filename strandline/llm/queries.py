@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, katz, langid, mixing, quality, substrings
+from . import chat, decontaminate, html, jaccard, katz, langid, mixing, quality, substrings
 
 QUERIES = {
+    "op5_main_text": html.op5_main_text,
     "op3_quality_rank": quality.op3_quality_rank,
     "op4_language_id": langid.op4_language_id,
     "op10_katz_score": katz.op10_katz_score,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_main_text": html.OP5_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op2_ngram_jaccard": jaccard.OP2_SQL,
     "op1_substring_dedup": substrings.OP1_SQL,
