@@ -14,8 +14,8 @@ The link between two texts is exact: the shingle sets A and B link when ``den *
    of their least shingle form groups of similar sets, each group keeps the union of its shingles; a
    member's overlap with the union bounds its overlap with each set inside, and only groups that pass the
    bound are opened and counted exactly. Groups whose members are all linked to the member need no look.
-   A family of more than ``block`` members is dealt out in pairs of blocks of similar size; pairs whose
-   sizes rule out a link are left out.
+   A family of more than ``block`` shingles in all is dealt out in pairs of blocks of similar set sizes;
+   pairs whose sizes rule out a link are left out.
 4. Links found connect nodes; components of those are the classes.
 
 No pair of equal texts is made, and no pair of members in a large list; only exact links enter a class.
@@ -231,14 +231,10 @@ def _bitmap_filter(num: int, den: int):
 # 3. families
 
 
-def _matrix_join(node: list[int], tokens: list[np.ndarray], num: int, den: int, group: int, side: list[int] | None = None) -> Iterator[tuple[int, int]]:
-    """Links that connect the members, at most one for each two parts that it joins.
-
-    ``side`` gives the block of each member, where two blocks are compared: pairs within one are left out.
-    """
+def _matrix_join(node: list[int], tokens: list[np.ndarray], num: int, den: int, group: int) -> Iterator[tuple[int, int]]:
+    """Links that connect the members, at most one for each two parts that it joins."""
     order = sorted(range(len(node)), key=lambda i: (int(tokens[i][0]), node[i]))
     node, tokens = [node[i] for i in order], [tokens[i] for i in order]
-    side = [side[i] for i in order] if side else None
     size = np.array([len(t) for t in tokens])
     parent = list(range(len(node)))
 
@@ -257,6 +253,7 @@ def _matrix_join(node: list[int], tokens: list[np.ndarray], num: int, den: int,
     by_token = np.argsort(cells, kind="stable")
     cells, of = cells[by_token], of[by_token]
     smallest = np.array([size[g.start : g.stop].min() for g in groups])
+    one = [False] * len(groups)  # groups that are known to be one part
     for q, own in enumerate(tokens):
         low, high = np.searchsorted(cells, own, "left"), np.searchsorted(cells, own, "right")
         reach = high - low
@@ -265,17 +262,21 @@ def _matrix_join(node: list[int], tokens: list[np.ndarray], num: int, den: int,
         need = _least_overlap(len(own), np.maximum(smallest, -(-num * len(own) // den)), num, den)
         for g in np.flatnonzero(overlap >= need).tolist():
             members = groups[g]
-            if members.start > q:
+            if members.start >= q:
                 break
             mine = root(q)
-            if all(root(i) == mine for i in members if i < q):
+            if one[g]:
+                if root(members.start) == mine:
+                    continue
+            elif members.stop <= q and all(root(i) == mine for i in members):
+                one[g] = True
                 continue
             place = np.minimum(np.searchsorted(own, flat[g]), len(own) - 1)
             shared = np.bincount(inside[g][own[place] == flat[g]], minlength=len(members))
             linked = den * shared >= num * (len(own) + size[members.start : members.stop] - shared)
             for k in np.flatnonzero(linked).tolist():
                 i = members.start + k
-                if i < q and (side is None or side[i] != side[q]) and root(i) != root(q):
+                if i < q and root(i) != root(q):
                     parent[root(q)] = root(i)
                     yield node[i], node[q]
 
@@ -283,46 +284,50 @@ def _matrix_join(node: list[int], tokens: list[np.ndarray], num: int, den: int,
 def _open_families(n: int, num: int, den: int, group: int):
     """Rows come sorted by task; a task is a family, or two blocks of one."""
 
-    def settle(rows: dict[int, tuple[int, np.ndarray]], two: bool) -> pa.RecordBatch | None:
-        node, (side, tokens) = list(rows), zip(*rows.values())
-        found = list(_matrix_join(node, list(tokens), num, den, group, list(side) if two else None))
+    def settle(rows: dict[int, np.ndarray]) -> pa.RecordBatch | None:
+        found = list(_matrix_join(list(rows), list(rows.values()), num, den, group))
         return record(a=([a for a, _ in found], pa.int64()), b=([b for _, b in found], pa.int64())) if found else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, two = None, {}, False
+        now, rows = None, {}
         for batch in batches:
             for part in words.chunks(batch):
                 owner, hashes = _sets(part, n)
                 first = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                for i, (family, i1, i2, node, side) in enumerate(zip(*(part.column(k).to_pylist() for k in ("family", "k1", "k2", "node", "side")))):
-                    if now != (family, i1, i2):
-                        if len(rows) > 1 and (out := settle(rows, two)) is not None:
+                for i, (family, k1, k2, node) in enumerate(zip(*(part.column(k).to_pylist() for k in ("family", "k1", "k2", "node")))):
+                    if now != (family, k1, k2):
+                        if len(rows) > 1 and (out := settle(rows)) is not None:
                             yield out
-                        now, rows, two = (family, i1, i2), {}, i1 != i2
-                    rows[node] = side, hashes[first[i] : first[i + 1]].copy()
-        if len(rows) > 1 and (out := settle(rows, two)) is not None:
+                        now, rows = (family, k1, k2), {}
+                    rows[node] = hashes[first[i] : first[i + 1]].copy()
+        if len(rows) > 1 and (out := settle(rows)) is not None:
             yield out
 
     return run
 
 
 def _tasks(families: DataFrame, sizes: DataFrame, block: int, num: int, den: int) -> DataFrame:
-    """Rows ``node, family, k1, k2, side``: the tasks that a member takes part in."""
+    """Rows ``node, family, k1, k2``: the tasks that a member takes part in.
+
+    A member weighs its shingles, and no less than 256; a family within ``block`` is one task. A larger one
+    falls into blocks of half that weight by size, and each two blocks whose sizes allow a link are a task.
+    """
+    weight = F.greatest("size", F.lit(256))
     members = families.join(sizes, "node")
-    counts = members.groupBy("family").agg(F.count("*").alias("members"))
-    members = members.join(counts, "family")
-    small = members.where(F.col("members") <= block).select("node", "family", F.lit(0).alias("k1"), F.lit(0).alias("k2"), F.lit(0).alias("side"))
-    place = F.row_number().over(Window.partitionBy("family").orderBy("size", "node")) - 1
-    large = members.where(F.col("members") > block).withColumn("side", F.floor(place / (block // 2)).cast("int"))
+    weights = members.groupBy("family").agg(F.sum(weight).alias("family_weight"))
+    members = members.join(weights, "family")
+    small = members.where(F.col("family_weight") <= block).select("node", "family", F.lit(0).alias("k1"), F.lit(0).alias("k2"))
+    upto = F.sum(weight).over(Window.partitionBy("family").orderBy("size", "node"))
+    large = members.where(F.col("family_weight") > block).withColumn("side", F.floor(upto / (block // 2)).cast("int"))
     blocks = large.groupBy("family", "side").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     x, y = blocks.alias("x"), blocks.alias("y")
     meet = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.side") <= F.col("y.side")) & (den * F.col("x.high") >= num * F.col("y.low")))
     meet = meet.select(F.col("x.family").alias("family"), F.col("x.side").alias("k1"), F.col("y.side").alias("k2"))
     sides = meet.select("family", "k1", "k2", F.explode(F.array_distinct(F.array("k1", "k2"))).alias("side"))
-    return small.unionByName(large.join(sides, ["family", "side"]).select("node", "family", "k1", "k2", "side"))
+    return small.unionByName(large.join(sides, ["family", "side"]).select("node", "family", "k1", "k2"))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, *, common_from: int = 50, list_limit: int = 64, group: int = 32, block: int = 2048, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, *, common_from: int = 50, list_limit: int = 64, group: int = 32, block: int = 2 << 20, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows ``id, node, size, class_id, class_node`` for every row of ``docs``.
 
     ``class_id`` is the least id that links reach; ``class_node`` names the row that stands for the class:
