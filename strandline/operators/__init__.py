@@ -1,0 +1,11 @@
+"""Operators, each with the queries that apply it to the test tables."""
+
+import importlib
+
+MODULES = ("series_queries",)
+
+
+def load() -> None:
+    """Registers the queries of all modules."""
+    for name in MODULES:
+        importlib.import_module(f"{__name__}.{name}")
