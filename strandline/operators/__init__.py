@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("series_queries",)
+MODULES = ("series_queries", "claims", "checkers")
 
 
 def load() -> None:
