@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("series_queries", "claims", "checkers")
+MODULES = ("series_queries", "claims", "checkers", "metrics")
 
 
 def load() -> None:
