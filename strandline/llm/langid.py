@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import common
+from . import common, words
 from .packing import record
 
 UNKNOWN = "und"
@@ -72,7 +72,7 @@ class Model:
                 times.append(c)
                 continue
             if word not in self.memo:
-                if len(self.memo) > 100_000:
+                if len(self.memo) > 20_000:
                     self.memo.clear()
                 self.memo[word] = self.backed_off(word)
             if (vector := self.memo[word]) is not None:
@@ -131,9 +131,9 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column("text")]
-            yield record(id=(batch.column("id"), pa.int64()), lang_pred=([f[0] for f in found], pa.string()), score=([f[1] for f in found], pa.float64()))
+        for part in (p for batch in batches for p in words.chunks(batch)):
+            found = [shared.value.predict(t.as_py()) for t in part.column("text")]
+            yield record(id=(part.column("id"), pa.int64()), lang_pred=([f[0] for f in found], pa.string()), score=([f[1] for f in found], pa.float64()))
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, lang_pred string, score double")
 
@@ -143,9 +143,9 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, *, text:
     shared, shape = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column(text)]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+        for part in (p for batch in batches for p in words.chunks(batch, text)):
+            found = [shared.value.predict(t.as_py()) for t in part.column(text)]
+            yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, shape)
 
