@@ -163,7 +163,7 @@ def _sort_buckets(window: int):
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text without the words of its ranges, kept words joined by one space."""
-    for batch in batches:
+    for batch in (p for b in batches for p in words.chunks(b)):
         texts, ranges = batch.column("text"), batch.column("ranges")
         n_words, n_removed, kept = [], [], []
         for i in range(batch.num_rows):
@@ -226,9 +226,9 @@ def dedup_documents(docs: DataFrame, window: int = 20, seed: int = 6, *, id_col:
     at = shape.names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in words.chunks(b, text)):
             part = pa.RecordBatch.from_arrays([batch.column("__d"), batch.column("__t"), batch.column("__d"), batch.column(text), batch.column("__ranges")], ["d", "t", "id", "text", "ranges"])
-            (out,) = _cut_out([part])
+            out = pa.Table.from_batches(_cut_out([part])).combine_chunks()
             lost, total = out.column("n_removed").to_numpy(), out.column("n_words").to_numpy()
             new = [k if n else o for k, n, o in zip(out.column("kept").to_pylist(), lost.tolist(), batch.column(text).to_pylist())]
             columns = [batch.column(n) for n in shape.names]
