@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("series_queries", "claims", "checkers", "metrics")
+MODULES = ("series_queries", "claims", "checkers", "metrics", "retrieval")
 
 
 def load() -> None:
