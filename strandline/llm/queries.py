@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, html, jaccard, katz, langid, mixing, quality, substrings
+from . import chat, decontaminate, html, images, jaccard, katz, langid, mixing, quality, substrings
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op4_language_id": langid.op4_language_id,
     "op5_main_text": html.op5_main_text,
     "op6_source_mix": mixing.op6_source_mix,
+    "op7_image_copies": images.op7_image_copies,
     "op8_chat_format": chat.op8_chat_format,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_katz_score": katz.op10_katz_score,
