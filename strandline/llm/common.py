@@ -36,6 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BATCH_BYTES = 12 << 20
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Has Spark hand Python at most 12 MB at a time (64 MB is its default), in JVM and worker alike."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of what the frame reads; no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -61,6 +61,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each segment of the index."""
+    common.bounded_batches(docs)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_build, _INDEX)
 
 

@@ -43,6 +43,8 @@ from .packing import by_bucket, pack, record, split_by, unpack
 
 _NO_ID = -(1 << 63)
 _MOST_COMMON = 1_000_000
+#: Bytes of text, and of packed tokens in a bucket, that a task holds at once.
+_PART, _BUCKET = 2 << 20, 5 << 20
 
 
 def _sets(part: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +69,7 @@ def _least_overlap(a, b, num: int, den: int):
 def _count(n: int, bits: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.chunks(batch):
+            for part in words.chunks(batch, limit=_PART):
                 _, hashes = _sets(part, n)
                 tokens, times = np.unique(hashes >> np.uint64(64 - bits), return_counts=True)
                 place = ((tokens >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -98,7 +100,7 @@ def common_tokens(rows: DataFrame, n: int, bits: int, least: int) -> tuple[np.nd
     At most a million rows come to the driver: where there are more, ``least`` doubles. That changes the
     order of tokens and so the number of candidates, never a result.
     """
-    buckets = common.parts_for(rows.select("text"), 1.5)
+    buckets = common.parts_for(rows.select("text"), 1.5, _BUCKET)
     dealt = rows.mapInArrow(_count(n, bits, buckets), "bucket long, tokens binary, times binary")
     found = common.cut(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_frequent(least), "token long, times long"))
     scale = {r["k"]: r["n"] for r in found.groupBy(F.floor(F.log2(F.col("times") / least)).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()}
@@ -120,7 +122,7 @@ def _describe(n: int, bits: int, num: int, den: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
         for batch in batches:
-            for part in words.chunks(batch):
+            for part in words.chunks(batch, limit=_PART):
                 owner, hashes = _sets(part, n)
                 rows = part.num_rows
                 size = np.bincount(owner, minlength=rows)
@@ -160,7 +162,7 @@ def _post(bits: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.chunks(batch, "prefix"):
+            for part in words.chunks(batch, "prefix", _PART):
                 data, at = words.buffer_of(part.column("prefix"))
                 length = np.diff(at) // 8
                 tokens = np.frombuffer(data.tobytes(), np.uint64)
@@ -333,6 +335,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     ``class_id`` is the least id that links reach; ``class_node`` names the row that stands for the class:
     the one whose ``node`` it equals.
     """
+    common.bounded_batches(docs)
     sc = docs.sparkSession.sparkContext
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     twice = bool(docs.groupBy(own.alias("id")).count().where("count > 1").take(1))
@@ -346,7 +349,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     keys = ("s1", "s2", "size")
     reps = described.where("size > 0").groupBy(*keys).agg(F.min("node").alias("node"), F.first("prefix").alias("prefix"))
     maps = described.where("size > 0").groupBy(*keys).agg(F.min("node").alias("node"), F.first("parity").alias("parity")).select("node", "size", "parity")
-    buckets = common.parts_for(docs.select(text), 1)
+    buckets = common.parts_for(docs.select(text), 1, _BUCKET)
     dealt = reps.select("node", "size", "prefix").mapInArrow(_post(bits, buckets), "bucket long, token binary, place binary, node binary, size binary")
     pairs = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_pairs(num, den, list_limit), "a long, b long, star long")
     pairs = pairs.groupBy("a", "b").agg(F.max("star").alias("star"))

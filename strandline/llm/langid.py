@@ -104,6 +104,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, training: Column, *, rows_per_language: int = 1000, vocabulary: int = 20_000, id_col: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
+    common.bounded_batches(docs)
     rows = docs.where(training & F.col(label).isNotNull()).select(F.col(label).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)

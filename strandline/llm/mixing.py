@@ -38,6 +38,7 @@ def word_counts(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
                 *_, first = words.word_table(data, at)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(first[1:] - first[:-1], pa.int64())], [*keep, "size"])
 
+    common.bounded_batches(docs)
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = T.StructType([*(f for f in rows.schema if f.name != "__text"), T.StructField("size", T.LongType())])
     return rows.mapInArrow(count, schema)

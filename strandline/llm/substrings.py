@@ -187,6 +187,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keys(docs: DataFrame, id_col: str, text: str) -> tuple[Column, Column]:
     """Order of a document: its id, then a hash of its text, which only counts where an id repeats."""
+    common.bounded_batches(docs)
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     twice = bool(docs.groupBy(own.alias("d")).count().where("count > 1").take(1))
     return own, F.xxhash64(F.coalesce(F.col(text), F.lit(""))) if twice else F.lit(0).cast("long")
