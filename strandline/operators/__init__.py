@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("series_queries", "claims", "checkers", "metrics", "retrieval")
+MODULES = ("series_queries", "claims", "checkers", "metrics", "retrieval", "reports")
 
 
 def load() -> None:
