@@ -64,7 +64,7 @@ def _resize(x: np.ndarray, factor: float) -> np.ndarray:
     return (1 - a) * ((1 - b) * x[i][:, j] + b * x[i][:, j + 1]) + a * ((1 - b) * x[i + 1][:, j] + b * x[i + 1][:, j + 1])
 
 
-def describe(pixels: np.ndarray, most: int = 20, scales: tuple[float, ...] = (1.0, 0.75, 0.5)) -> tuple[np.ndarray, np.ndarray]:
+def describe(pixels: np.ndarray, most: int = 20, scales: tuple[float, ...] = (1.0, 0.7)) -> tuple[np.ndarray, np.ndarray]:
     """Corners as rows (x, y, angle, size) in the image's own pixels, and their 32-byte descriptors."""
     found, bits = [], []
     for scale in scales:
@@ -118,14 +118,17 @@ def _tables(described: DataFrame) -> DataFrame:
     return rows.where(~F.col("cut").isin(0, -1))
 
 
-def search(queries: DataFrame, index: DataFrame, *, most_bits: int = 56, votes: int = 4, most: int = 24, cell: float = 8.0) -> DataFrame:
+def search(queries: DataFrame, index: DataFrame, *, most_bits: int = 56, votes: int = 4, most: int = 24, cell: float = 8.0, most_cuts: int = 2_000_000) -> DataFrame:
     """Rows ``query, class, votes``: classes of ``index`` that hold a cropped or edited copy of a query.
 
     Both frames are distinct images, ``class, image``.
     """
     q, t = (_tables(_descriptors(x, most)) for x in (queries, index))
     q = q.select(*(F.col(c).alias(f"q_{c}") for c in ("class", "k", "x", "y", "angle", "size", "bits")), "table", "cut")
-    near = q.join(t, ["table", "cut"])
+    # only descriptors that share a cut with a query travel; the queries' cuts are few, or are joined like the rest
+    cuts = common.cut(q.select("table", "cut").distinct())
+    few = cuts.count() <= most_cuts
+    near = q.join(t.join(F.broadcast(cuts) if few else cuts, ["table", "cut"], "left_semi"), ["table", "cut"])
     # differing bits of 32 bytes, as four words
     word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
     differ = sum((F.bit_count(word(F.col("q_bits"), i).bitwiseXOR(word(F.col("bits"), i))) for i in range(4)), F.lit(0))
@@ -185,11 +188,13 @@ def drawn(embeddings: DataFrame, edit: bool = False) -> DataFrame:
 def op7_image_copies(spark, sf_dir: str) -> DataFrame:
     """Classes of equal images, and for ids divisible by 50 the classes that an edited copy is found in."""
     rows = common.table(spark, sf_dir, "embeddings")
-    index = common.cut(by_content(drawn(rows)))
+    index = common.cut(by_content(drawn(rows)).select("id", "class"))
     asked = common.cut(by_content(drawn(rows.where(F.col("vec_id") % 50 == 0), edit=True)))
-    classes = index.groupBy("class").agg(F.min("id").alias("class_id"), F.first("image").alias("image"))
-    found = search(asked.groupBy("class").agg(F.first("image").alias("image")), classes)
-    named = found.join(classes.select("class", "class_id"), "class").groupBy("query").agg(F.array_sort(F.collect_list("class_id")).alias("matches"), F.max("votes").alias("votes"))
+    classes = index.groupBy("class").agg(F.min("id").alias("class_id"))
+    # pixels are drawn again for one image of each class; stored, they would be many times the vectors
+    pictures = by_content(drawn(rows.join(classes, F.col("vec_id") == F.col("class_id"), "left_semi"))).select("class", "image")
+    found = search(asked.groupBy("class").agg(F.first("image").alias("image")), pictures)
+    named = found.join(classes, "class").groupBy("query").agg(F.array_sort(F.collect_list("class_id")).alias("matches"), F.max("votes").alias("votes"))
     answers = asked.select(F.col("id").alias("vec_id"), F.col("class").alias("query")).join(named, "query", "left").drop("query")
-    out = index.select(F.col("id").alias("vec_id"), "class").join(classes.select("class", "class_id"), "class").join(answers, "vec_id", "left")
+    out = index.select(F.col("id").alias("vec_id"), "class").join(classes, "class").join(answers, "vec_id", "left")
     return out.select("vec_id", "class_id", (F.col("vec_id") % 50 == 0).alias("is_query"), F.coalesce("matches", F.array().cast("array<long>")).alias("matches"), F.coalesce("votes", F.lit(0)).cast("int").alias("votes"))
