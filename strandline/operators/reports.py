@@ -167,8 +167,8 @@ def e03(spark, sf_dir):
     return z.groupBy("case_id").agg(F.min_by("step", F.struct(-F.col("iou"), "step")).alias("step"), rounded(F.max("iou")).alias("iou"))
 
 
-@query("e05_multiset_f1", f"""WITH {_RECORDS_SQL}, e AS (SELECT case_id, unnest(['flat', 'spike', 'spike']) AS p FROM r WHERE j = 0), u AS (SELECT case_id, unnest(CASE WHEN case_id % 3 = 0 THEN ['flat', 'spike'] WHEN case_id % 3 = 1 THEN ['spike', 'dip', 'spike', 'gap'] ELSE ['trend'] END) AS p FROM r WHERE j = 0),
-a AS (SELECT case_id, p, count(*) AS n FROM e GROUP BY ALL), b AS (SELECT case_id, p, count(*) AS n FROM u GROUP BY ALL),
+@query("e05_multiset_f1", f"""WITH {_RECORDS_SQL}, ve AS (SELECT case_id, unnest(['flat', 'spike', 'spike']) AS p FROM r WHERE j = 0), vu AS (SELECT case_id, unnest(CASE WHEN case_id % 3 = 0 THEN ['flat', 'spike'] WHEN case_id % 3 = 1 THEN ['spike', 'dip', 'spike', 'gap'] ELSE ['trend'] END) AS p FROM r WHERE j = 0),
+a AS (SELECT case_id, p, count(*) AS n FROM ve GROUP BY ALL), b AS (SELECT case_id, p, count(*) AS n FROM vu GROUP BY ALL),
 z AS (SELECT coalesce(a.case_id, b.case_id) AS case_id, sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) AS shared, sum(coalesce(a.n, 0)) AS e, sum(coalesce(b.n, 0)) AS u FROM a FULL JOIN b ON a.case_id = b.case_id AND a.p = b.p GROUP BY 1)
 SELECT case_id, {rounded_sql('CASE WHEN e + u = 0 THEN 1 ELSE 2.0::DOUBLE * shared / (e + u) END')} AS f1 FROM z""")
 def e05(spark, sf_dir):
