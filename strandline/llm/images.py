@@ -3,11 +3,13 @@
 Corners (Harris) at several scales get an orientation from the intensity centroid and a 256-bit string of
 brightness tests turned by it. Bits are cut into eight tables of 32: descriptors that share a cut in one
 table are candidates, and those within ``most_bits`` differing bits match. Matches of an image pair vote
-for a rotation, a scale and a shift; ``votes`` of them in one cell make the pair copies of each other, so
+for a rotation, a scale and a shift; ``votes`` of different places in one cell make the pair copies of each other, so
 crops, brightness changes and light noise are found and single look-alike corners are not.
 
-Images with equal pixels are one class and are described and searched once; the join is on (table, cut), so
-each descriptor meets only look-alikes. Cuts without contrast (all bits equal) are left out of the tables;
+Corners come from a pyramid of five levels over one octave, so copies resized to half or twice the size are
+found too. Images with equal pixels are one class and are described and searched once. The queries' descriptors
+go to where the images are, so that only matches travel; where they are too many, both sides are joined on
+(table, cut). Cuts without contrast (all bits equal) are left out of the tables;
 a descriptor has seven other ways in.
 
 Images are binary PGM (P5, one byte a pixel). Defined cases: null, empty or broken images have no corners,
@@ -32,6 +34,8 @@ from .packing import record
 
 _HEAD = re.compile(rb"P5\s+(\d+)\s+(\d+)\s+255\s")
 _RADIUS = 9
+#: A pyramid over one octave: levels of two images meet at ratios of 0.5 to 2, at most 1.09 apart.
+SCALES = tuple(2 ** (-k / 4) for k in range(5))
 _tests = np.random.default_rng(31)
 _A, _B = (np.clip(_tests.normal(0, 3.5, (256, 2)), -_RADIUS + 1, _RADIUS - 1) for _ in range(2))
 _disc = np.stack(np.meshgrid(np.arange(-_RADIUS, _RADIUS + 1), np.arange(-_RADIUS, _RADIUS + 1)), -1).reshape(-1, 2)
@@ -64,7 +68,7 @@ def _resize(x: np.ndarray, factor: float) -> np.ndarray:
     return (1 - a) * ((1 - b) * x[i][:, j] + b * x[i][:, j + 1]) + a * ((1 - b) * x[i + 1][:, j] + b * x[i + 1][:, j + 1])
 
 
-def describe(pixels: np.ndarray, most: int = 20, scales: tuple[float, ...] = (1.0, 0.7)) -> tuple[np.ndarray, np.ndarray]:
+def describe(pixels: np.ndarray, most: int = 20, scales: tuple[float, ...] = SCALES) -> tuple[np.ndarray, np.ndarray]:
     """Corners as rows (x, y, angle, size) in the image's own pixels, and their 32-byte descriptors."""
     found, bits = [], []
     for scale in scales:
@@ -92,30 +96,80 @@ def describe(pixels: np.ndarray, most: int = 20, scales: tuple[float, ...] = (1.
     return (np.concatenate(found), np.concatenate(bits)) if found else (np.zeros((0, 4)), np.zeros((0, 32), np.uint8))
 
 
+_PLACE = pa.schema([("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("size", pa.float32())])
+_WORDS = [f"b{i}" for i in range(4)]
+_PAIRS = 1 << 20
+
+
+def _described(batch: pa.RecordBatch, most: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    for name, data in zip(batch.column("class"), batch.column("image")):
+        pixels = read_pgm(data.as_py())
+        if pixels is not None and len((found := describe(pixels, most))[0]):
+            yield name.as_py(), found[0].astype(np.float32), found[1]
 
 
 def _descriptors(images: DataFrame, most: int) -> DataFrame:
-    """Rows ``class, corners`` of distinct images (``class, image``)."""
+    """One row for each corner of distinct images (``class, image``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part, out = batch.slice(start, 256), []
-                for data in part.column("image"):
-                    pixels = read_pgm(data.as_py())
-                    places, bits = describe(pixels, most) if pixels is not None else (np.zeros((0, 4)), np.zeros((0, 32), np.uint8))
-                    cuts = np.ascontiguousarray(bits).view(np.int32) if len(bits) else np.zeros((0, 8), np.int32)
-                    out.append([{"x": p[0], "y": p[1], "angle": p[2], "size": p[3], "bits": b.tobytes(), "cuts": c.tolist()} for p, b, c in zip(places.tolist(), bits, cuts)])
-                kind = pa.struct([("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("size", pa.float32()), ("bits", pa.binary()), ("cuts", pa.list_(pa.int32()))])
-                yield record(**{"class": (part.column("class"), pa.binary()), "corners": (out, pa.list_(kind))})
+            for name, places, bits in _described(batch, most):
+                words, cuts = bits.view(np.int64), bits.view(np.int32)
+                yield record(
+                    **{"class": ([name] * len(bits), pa.binary()), "k": (np.arange(len(bits)), pa.int32())}, **{f.name: (places[:, i], f.type) for i, f in enumerate(_PLACE)},
+                    **{b: (words[:, i], pa.int64()) for i, b in enumerate(_WORDS)}, cuts=(cuts.tolist(), pa.list_(pa.int32())),
+                )
+
+    return images.select("class", "image").mapInArrow(run, "class binary, k int, x float, y float, angle float, size float, b0 long, b1 long, b2 long, b3 long, cuts array<int>")
 
-    return images.select("class", "image").mapInArrow(run, "class binary, corners array<struct<x:float,y:float,angle:float,size:float,bits:binary,cuts:array<int>>>")
 
+def _near_here(asked: pa.Table, images: DataFrame, most: int, most_bits: int) -> DataFrame:
+    """Matches of the index's corners with the queries' where the images are; only matches travel."""
+    cuts = np.array(asked.column("cuts").to_pylist(), np.int32).reshape(-1, 8)
+    order = np.argsort(cuts, axis=0, kind="stable")
+    own = (np.take_along_axis(cuts, order, 0), order, np.stack([asked.column(b).to_numpy() for b in _WORDS], -1).view(np.uint64), asked.select(["class", "k", *_PLACE.names]).combine_chunks())
+    shared = images.sparkSession.sparkContext.broadcast(own)
 
-def _tables(described: DataFrame) -> DataFrame:
-    rows = described.select("class", F.posexplode("corners").alias("k", "c"))
-    rows = rows.select("class", "k", "c.x", "c.y", "c.angle", "c.size", "c.bits", F.posexplode("c.cuts").alias("table", "cut"))
-    return rows.where(~F.col("cut").isin(0, -1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, order, words, asked = shared.value
+        for batch in batches:
+            for name, places, bits in _described(batch, most):
+                mine, keys, hits = bits.view(np.uint64), bits.view(np.int32), []
+                for table in range(8):
+                    low, high = (np.searchsorted(cuts[:, table], keys[:, table], side) for side in ("left", "right"))
+                    high = np.where(np.isin(keys[:, table], (0, -1)), low, high)
+                    ends = np.cumsum(high - low)
+                    start = 0
+                    while start < len(ends):  # some corners at a time, about so many pairs
+                        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _PAIRS, "right")))
+                        many = (high - low)[start:end]
+                        k = np.repeat(np.arange(start, end), many)
+                        q = order[np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many) + low[k], table]
+                        ok = np.bitwise_count(words[q] ^ mine[k]).sum(axis=1, dtype=np.int64) <= most_bits
+                        hits.append(np.stack([q[ok], k[ok]], -1))
+                        start = end
+                q, k = np.unique(np.concatenate(hits), axis=0).T
+                if len(q):
+                    rows = asked.take(pa.array(q))
+                    yield record(
+                        **{f"q_{n}": (rows.column(n).combine_chunks(), rows.schema.field(n).type) for n in rows.schema.names},
+                        **{"class": ([name] * len(k), pa.binary()), "k": (k, pa.int32())}, **{f.name: (places[k, i], f.type) for i, f in enumerate(_PLACE)},
+                    )
+
+    kind = "class binary, {0}k int, {0}x float, {0}y float, {0}angle float, {0}size float"
+    return images.select("class", "image").mapInArrow(run, "q_" + kind.format("q_") + ", " + kind.format(""))
+
+
+def _near_joined(asked: DataFrame, index: DataFrame, most_bits: int) -> DataFrame:
+    """The same by a join on (table, cut), for queries too many to go to all tasks."""
+    q, t = (x.select("*", F.posexplode("cuts").alias("table", "cut")).drop("cuts") for x in (asked, index))
+    q = q.select(*(F.col(c).alias(f"q_{c}") for c in q.columns if c not in ("table", "cut")), "table", "cut")
+    near = q.where(_CONTRAST).join(t.where(_CONTRAST), ["table", "cut"])
+    differ = sum((F.bit_count(F.col(f"q_{b}").bitwiseXOR(F.col(b))) for b in _WORDS), F.lit(0))
+    return near.where(differ <= most_bits).drop("table", "cut", *_WORDS, *(f"q_{b}" for b in _WORDS)).dropDuplicates(["q_class", "q_k", "class", "k"])
+
+
+_CONTRAST = "cut not in (0, -1)"
 
 
 def search(queries: DataFrame, index: DataFrame, *, most_bits: int = 56, votes: int = 4, most: int = 24, cell: float = 8.0, most_cuts: int = 2_000_000) -> DataFrame:
@@ -123,23 +177,19 @@ def search(queries: DataFrame, index: DataFrame, *, most_bits: int = 56, votes:
 
     Both frames are distinct images, ``class, image``.
     """
-    q, t = (_tables(_descriptors(x, most)) for x in (queries, index))
-    q = q.select(*(F.col(c).alias(f"q_{c}") for c in ("class", "k", "x", "y", "angle", "size", "bits")), "table", "cut")
-    # only descriptors that share a cut with a query travel; the queries' cuts are few, or are joined like the rest
-    cuts = common.cut(q.select("table", "cut").distinct())
-    few = cuts.count() <= most_cuts
-    near = q.join(t.join(F.broadcast(cuts) if few else cuts, ["table", "cut"], "left_semi"), ["table", "cut"])
-    # differing bits of 32 bytes, as four words
-    word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    differ = sum((F.bit_count(word(F.col("q_bits"), i).bitwiseXOR(word(F.col("bits"), i))) for i in range(4)), F.lit(0))
-    near = near.where(differ <= most_bits).dropDuplicates(["q_class", "q_k", "class", "k"])
+    asked = common.cut(_descriptors(queries, most))
+    if 8 * asked.count() <= most_cuts:
+        near = _near_here(asked.toArrow(), index, most, most_bits)
+    else:
+        near = _near_joined(asked, _descriptors(index, most), most_bits)
     turn, grow = F.col("angle") - F.col("q_angle"), F.col("size") / F.col("q_size")
     dx = F.col("x") - grow * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
     dy = F.col("y") - grow * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
+    # a corner found at several levels votes once, so votes are of places of the query;
     # a turn of a few degrees moves far corners, so shifts vote in the two nearest cells each way
-    spots = near.select("q_class", "class", "q_k", F.floor(F.pmod(turn + 0.26, F.lit(6.283185307)) / 0.5236).alias("turn"), F.rint(2 * F.log2(grow)).alias("grow"), F.explode(F.array(*[F.struct(F.floor(dx / cell + i).alias("i"), F.floor(dy / cell + j).alias("j")) for i in (0.0, 0.5) for j in (0.0, 0.5)])).alias("c"))
+    spots = near.select("q_class", "class", F.struct(F.floor(F.col("q_x") / 4).alias("i"), F.floor(F.col("q_y") / 4).alias("j")).alias("place"), F.floor(F.pmod(turn + 0.26, F.lit(6.283185307)) / 0.5236).alias("turn"), F.rint(2 * F.log2(grow)).alias("grow"), F.explode(F.array(*[F.struct(F.floor(dx / cell + i).alias("i"), F.floor(dy / cell + j).alias("j")) for i in (0.0, 0.5) for j in (0.0, 0.5)])).alias("c"))
     half = F.struct("turn", "grow", "c")
-    counted = spots.groupBy("q_class", "class", half.alias("cell")).agg(F.countDistinct("q_k").alias("votes"))
+    counted = spots.groupBy("q_class", "class", half.alias("cell")).agg(F.countDistinct("place").alias("votes"))
     return counted.groupBy(F.col("q_class").alias("query"), "class").agg(F.max("votes").alias("votes")).where(F.col("votes") >= votes)
 
 

@@ -198,6 +198,33 @@ def test_image_search(spark):
     assert np.isfinite(images.draw(np.zeros(4))).all()
 
 
+def detailed(seed, side=160, rectangles=120):
+    """A picture with hundreds of corners."""
+    import numpy as np
+
+    rng, out = np.random.default_rng(seed), np.full((side, side), 128.0)
+    for x, y, w, h, shade in zip(*rng.integers([[0], [0], [6], [6], [0]], [[side - 6], [side - 6], [30], [30], [256]], (5, rectangles))):
+        out[y : y + h, x : x + w] = shade
+    return out
+
+
+def found_images(spark, asked, pictures, **parameters):
+    rows = lambda many: spark.createDataFrame([(str(i).encode(), images.write_pgm(p)) for i, p in many], "class binary, image binary")
+    return sorted((bytes(r["query"]).decode(), bytes(r["class"]).decode()) for r in images.search(rows(asked), rows(pictures), **parameters).collect())
+
+
+@pytest.mark.parametrize("parameters", [{}, {"most_cuts": 0}])
+def test_images_resized(spark, parameters):
+    import numpy as np
+
+    pictures, asked = [(i, detailed(i)) for i in range(4)], []
+    for i, factor in enumerate((0.5, 0.6, 0.7, 0.85)):
+        small = images._resize(images._blur(detailed(i)), factor) * 0.9 + 12
+        asked.append((i, small + np.random.default_rng(i).normal(0, 2, small.shape)))
+    assert found_images(spark, asked, pictures, **parameters) == [(str(i), str(i)) for i in range(4)]
+    assert found_images(spark, pictures, asked, **parameters) == [(str(i), str(i)) for i in range(4)]
+
+
 def test_digest_of_contract(spark):
     text = " ".join(f"w{i}" for i in range(25))
     docs = spark.createDataFrame([(1, text, None, None, 0, "", 0), (2, text, None, None, 0, "", 0)], DOCS)
