@@ -8,9 +8,11 @@ crops, brightness changes and light noise are found and single look-alike corner
 
 Corners come from a pyramid of five levels over one octave, so copies resized to half or twice the size are
 found too. Images with equal pixels are one class and are described and searched once. The queries' descriptors
-go to where the images are, so that only matches travel; where they are too many, both sides are joined on
-(table, cut). Cuts without contrast (all bits equal) are left out of the tables;
-a descriptor has seven other ways in.
+go to where the images are and votes are counted there, so that only found pairs travel; where they are too many, both sides are joined on
+(table, cut), common cuts salted.
+
+All corners above the response threshold count, however many, and all their cuts. Still a search by tables is
+not exhaustive: two descriptors within ``most_bits`` differing bits meet only if one of their eight cuts is equal.
 
 Images are binary PGM (P5, one byte a pixel). Defined cases: null, empty or broken images have no corners,
 are a class each by content (null is one) and match nothing; images under 24 pixels a side have no corners;
@@ -68,7 +70,7 @@ def _resize(x: np.ndarray, factor: float) -> np.ndarray:
     return (1 - a) * ((1 - b) * x[i][:, j] + b * x[i][:, j + 1]) + a * ((1 - b) * x[i + 1][:, j] + b * x[i + 1][:, j + 1])
 
 
-def describe(pixels: np.ndarray, most: int = 20, scales: tuple[float, ...] = SCALES) -> tuple[np.ndarray, np.ndarray]:
+def describe(pixels: np.ndarray, scales: tuple[float, ...] = SCALES) -> tuple[np.ndarray, np.ndarray]:
     """Corners as rows (x, y, angle, size) in the image's own pixels, and their 32-byte descriptors."""
     found, bits = [], []
     for scale in scales:
@@ -82,8 +84,7 @@ def describe(pixels: np.ndarray, most: int = 20, scales: tuple[float, ...] = SCA
         inner = corner[edge:-edge, edge:-edge]
         top = np.max([corner[edge + dy : corner.shape[0] - edge + dy, edge + dx : corner.shape[1] - edge + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
         r, c = np.nonzero((inner == top) & (inner > 1.0))
-        best = np.argsort(-inner[r, c], kind="stable")[:most]
-        r, c = r[best] + edge, c[best] + edge
+        r, c = r + edge, c + edge
         patch = x[r[:, None] + _DISC[:, 1], c[:, None] + _DISC[:, 0]]
         angle = np.arctan2(patch @ _DISC[:, 1], patch @ _DISC[:, 0])
         turn = np.stack([np.cos(angle), -np.sin(angle), np.sin(angle), np.cos(angle)], -1).reshape(-1, 2, 2)
@@ -99,21 +100,22 @@ def describe(pixels: np.ndarray, most: int = 20, scales: tuple[float, ...] = SCA
 _PLACE = pa.schema([("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("size", pa.float32())])
 _WORDS = [f"b{i}" for i in range(4)]
 _PAIRS = 1 << 20
+_SALTS = 32
 
 
-def _described(batch: pa.RecordBatch, most: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+def _described(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
     for name, data in zip(batch.column("class"), batch.column("image")):
         pixels = read_pgm(data.as_py())
-        if pixels is not None and len((found := describe(pixels, most))[0]):
+        if pixels is not None and len((found := describe(pixels))[0]):
             yield name.as_py(), found[0].astype(np.float32), found[1]
 
 
-def _descriptors(images: DataFrame, most: int) -> DataFrame:
+def _descriptors(images: DataFrame) -> DataFrame:
     """One row for each corner of distinct images (``class, image``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, places, bits in _described(batch, most):
+            for name, places, bits in _described(batch):
                 words, cuts = bits.view(np.int64), bits.view(np.int32)
                 yield record(
                     **{"class": ([name] * len(bits), pa.binary()), "k": (np.arange(len(bits)), pa.int32())}, **{f.name: (places[:, i], f.type) for i, f in enumerate(_PLACE)},
@@ -123,21 +125,41 @@ def _descriptors(images: DataFrame, most: int) -> DataFrame:
     return images.select("class", "image").mapInArrow(run, "class binary, k int, x float, y float, angle float, size float, b0 long, b1 long, b2 long, b3 long, cuts array<int>")
 
 
-def _near_here(asked: pa.Table, images: DataFrame, most: int, most_bits: int) -> DataFrame:
-    """Matches of the index's corners with the queries' where the images are; only matches travel."""
+def _counts(group: np.ndarray, x: np.ndarray, y: np.ndarray, cell: float) -> np.ndarray:
+    """Different places, cells of (x, y), by group."""
+    rows = np.unique(np.stack([group, np.floor(x / cell).astype(np.int64), np.floor(y / cell).astype(np.int64)], -1), axis=0)
+    return np.bincount(rows[:, 0])
+
+
+def _votes(query: np.ndarray, at: np.ndarray, to: np.ndarray, cell: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries of one image's matches, their most votes and all their places; as in ``_voted``."""
+    turn, grow = to[:, 2] - at[:, 2], to[:, 3] / at[:, 3]
+    dx = to[:, 0] - grow * (np.cos(turn) * at[:, 0] - np.sin(turn) * at[:, 1])
+    dy = to[:, 1] - grow * (np.sin(turn) * at[:, 0] + np.cos(turn) * at[:, 1])
+    around, size = np.floor(np.mod(turn + 0.26, 6.283185307) / 0.5236), np.rint(2 * np.log2(grow))
+    spots = np.concatenate([np.stack([query, around, size, np.floor(dx / cell + i), np.floor(dy / cell + j)], -1) for i in (0.0, 0.5) for j in (0.0, 0.5)]).astype(np.int64)
+    cells, owner = np.unique(spots, axis=0, return_inverse=True)
+    owner = owner.ravel()
+    votes = np.minimum(*(_counts(owner, np.tile(x[:, 0], 4), np.tile(x[:, 1], 4), cell) for x in (at, to)))
+    asked, first = np.unique(cells[:, 0], return_index=True)
+    _, number = np.unique(query, return_inverse=True)
+    return asked, np.maximum.reduceat(votes, first), _counts(number, at[:, 0], at[:, 1], cell)
+
+
+def _found_here(asked: pa.Table, images: DataFrame, most_bits: int, cell: float) -> DataFrame:
+    """Rows ``q_class, class, votes, places``, counted where the images are, so that no match travels."""
     cuts = np.array(asked.column("cuts").to_pylist(), np.int32).reshape(-1, 8)
     order = np.argsort(cuts, axis=0, kind="stable")
-    own = (np.take_along_axis(cuts, order, 0), order, np.stack([asked.column(b).to_numpy() for b in _WORDS], -1).view(np.uint64), asked.select(["class", "k", *_PLACE.names]).combine_chunks())
+    own = (np.take_along_axis(cuts, order, 0), order, np.stack([asked.column(b).to_numpy() for b in _WORDS], -1).view(np.uint64), *_numbered(asked))
     shared = images.sparkSession.sparkContext.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, order, words, asked = shared.value
+        cuts, order, words, classes, owner, spots = shared.value
         for batch in batches:
-            for name, places, bits in _described(batch, most):
+            for name, places, bits in _described(batch):
                 mine, keys, hits = bits.view(np.uint64), bits.view(np.int32), []
                 for table in range(8):
                     low, high = (np.searchsorted(cuts[:, table], keys[:, table], side) for side in ("left", "right"))
-                    high = np.where(np.isin(keys[:, table], (0, -1)), low, high)
                     ends = np.cumsum(high - low)
                     start = 0
                     while start < len(ends):  # some corners at a time, about so many pairs
@@ -150,47 +172,59 @@ def _near_here(asked: pa.Table, images: DataFrame, most: int, most_bits: int) ->
                         start = end
                 q, k = np.unique(np.concatenate(hits), axis=0).T
                 if len(q):
-                    rows = asked.take(pa.array(q))
-                    yield record(
-                        **{f"q_{n}": (rows.column(n).combine_chunks(), rows.schema.field(n).type) for n in rows.schema.names},
-                        **{"class": ([name] * len(k), pa.binary()), "k": (k, pa.int32())}, **{f.name: (places[k, i], f.type) for i, f in enumerate(_PLACE)},
-                    )
+                    own, most, many = _votes(owner[q], spots[q], places[k].astype(np.float64), cell)
+                    yield record(q_class=([classes[i] for i in own], pa.binary()), **{"class": ([name] * len(own), pa.binary())}, votes=(most, pa.int64()), places=(many, pa.int64()))
 
-    kind = "class binary, {0}k int, {0}x float, {0}y float, {0}angle float, {0}size float"
-    return images.select("class", "image").mapInArrow(run, "q_" + kind.format("q_") + ", " + kind.format(""))
+    return images.select("class", "image").mapInArrow(run, "q_class binary, class binary, votes long, places long")
+
+
+def _numbered(asked: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The classes, and by descriptor the number of its class and its place."""
+    coded = asked.column("class").combine_chunks().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), np.stack([asked.column(n).to_numpy().astype(np.float64) for n in _PLACE.names], -1)
 
 
 def _near_joined(asked: DataFrame, index: DataFrame, most_bits: int) -> DataFrame:
-    """The same by a join on (table, cut), for queries too many to go to all tasks."""
+    """Matching corners by a join on (table, cut), for queries too many to go to all tasks."""
     q, t = (x.select("*", F.posexplode("cuts").alias("table", "cut")).drop("cuts") for x in (asked, index))
     q = q.select(*(F.col(c).alias(f"q_{c}") for c in q.columns if c not in ("table", "cut")), "table", "cut")
-    near = q.where(_CONTRAST).join(t.where(_CONTRAST), ["table", "cut"])
+    # cuts of little contrast are common: the index's are dealt over _SALTS, the queries' go to each
+    ones = F.bit_count(F.col("cut").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    hot = (ones <= 2) | (ones >= 30)
+    t = t.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("class", "k"), F.lit(_SALTS)).cast("int")).otherwise(0))
+    q = q.withColumn("salt", F.explode(F.when(hot, F.array(*map(F.lit, range(_SALTS)))).otherwise(F.array(F.lit(0)))))
+    near = q.join(t, ["table", "cut", "salt"])
     differ = sum((F.bit_count(F.col(f"q_{b}").bitwiseXOR(F.col(b))) for b in _WORDS), F.lit(0))
-    return near.where(differ <= most_bits).drop("table", "cut", *_WORDS, *(f"q_{b}" for b in _WORDS)).dropDuplicates(["q_class", "q_k", "class", "k"])
+    return near.where(differ <= most_bits).drop("table", "cut", "salt", *_WORDS, *(f"q_{b}" for b in _WORDS)).dropDuplicates(["q_class", "q_k", "class", "k"])
 
 
-_CONTRAST = "cut not in (0, -1)"
+def _voted(near: DataFrame, cell: float) -> DataFrame:
+    """Rows ``q_class, class, votes, places`` of joined matches."""
+    turn, grow = F.col("angle") - F.col("q_angle"), F.col("size") / F.col("q_size")
+    dx = F.col("x") - grow * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
+    dy = F.col("y") - grow * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
+    # a corner found at several levels votes once, and corners alike in one image are one too: places count, on both sides;
+    # a turn of a few degrees moves far corners, so shifts vote in the two nearest cells each way
+    spots = near.select("q_class", "class", *(F.struct(F.floor(F.col(x) / cell).alias("i"), F.floor(F.col(y) / cell).alias("j")).alias(n) for n, x, y in (("q_place", "q_x", "q_y"), ("place", "x", "y"))), F.floor(F.pmod(turn + 0.26, F.lit(6.283185307)) / 0.5236).alias("turn"), F.rint(2 * F.log2(grow)).alias("grow"), F.explode(F.array(*[F.struct(F.floor(dx / cell + i).alias("i"), F.floor(dy / cell + j).alias("j")) for i in (0.0, 0.5) for j in (0.0, 0.5)])).alias("c"))
+    half = F.struct("turn", "grow", "c")
+    counted = spots.groupBy("q_class", "class", half.alias("cell")).agg(F.least(F.countDistinct("q_place"), F.countDistinct("place")).alias("votes"))
+    best = counted.groupBy("q_class", "class").agg(F.max("votes").alias("votes"))
+    return best.join(spots.groupBy("q_class", "class").agg(F.countDistinct("q_place").alias("places")), ["q_class", "class"])
 
 
-def search(queries: DataFrame, index: DataFrame, *, most_bits: int = 56, votes: int = 4, most: int = 24, cell: float = 8.0, most_cuts: int = 2_000_000) -> DataFrame:
+def search(queries: DataFrame, index: DataFrame, *, most_bits: int = 56, votes: int = 4, cell: float = 8.0, share: float = 0.2, most_cuts: int = 2_000_000) -> DataFrame:
     """Rows ``query, class, votes``: classes of ``index`` that hold a cropped or edited copy of a query.
 
     Both frames are distinct images, ``class, image``.
     """
-    asked = common.cut(_descriptors(queries, most))
+    asked = common.cut(_descriptors(queries))
     if 8 * asked.count() <= most_cuts:
-        near = _near_here(asked.toArrow(), index, most, most_bits)
+        found = _found_here(asked.toArrow(), index, most_bits, cell)
     else:
-        near = _near_joined(asked, _descriptors(index, most), most_bits)
-    turn, grow = F.col("angle") - F.col("q_angle"), F.col("size") / F.col("q_size")
-    dx = F.col("x") - grow * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
-    dy = F.col("y") - grow * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
-    # a corner found at several levels votes once, so votes are of places of the query;
-    # a turn of a few degrees moves far corners, so shifts vote in the two nearest cells each way
-    spots = near.select("q_class", "class", F.struct(F.floor(F.col("q_x") / 4).alias("i"), F.floor(F.col("q_y") / 4).alias("j")).alias("place"), F.floor(F.pmod(turn + 0.26, F.lit(6.283185307)) / 0.5236).alias("turn"), F.rint(2 * F.log2(grow)).alias("grow"), F.explode(F.array(*[F.struct(F.floor(dx / cell + i).alias("i"), F.floor(dy / cell + j).alias("j")) for i in (0.0, 0.5) for j in (0.0, 0.5)])).alias("c"))
-    half = F.struct("turn", "grow", "c")
-    counted = spots.groupBy("q_class", "class", half.alias("cell")).agg(F.countDistinct("place").alias("votes"))
-    return counted.groupBy(F.col("q_class").alias("query"), "class").agg(F.max("votes").alias("votes")).where(F.col("votes") >= votes)
+        found = _voted(common.cut(_near_joined(asked, _descriptors(index), most_bits)), cell)
+    # look-alike corners scatter over the cells; with hundreds of them some cell gets a few votes by chance
+    kept = found.where((F.col("votes") >= votes) & (F.col("votes") >= share * F.col("places")))
+    return kept.select(F.col("q_class").alias("query"), "class", "votes")
 
 
 def by_content(rows: DataFrame) -> DataFrame:

@@ -225,6 +225,19 @@ def test_images_resized(spark, parameters):
     assert found_images(spark, pictures, asked, **parameters) == [(str(i), str(i)) for i in range(4)]
 
 
+@pytest.mark.parametrize("parameters", [{}, {"most_cuts": 0}])
+def test_small_crops_of_detailed_images(spark, parameters):
+    pictures = [(i, detailed(i)) for i in range(6)]
+    asked = [(i, p[40:90, 60:110] * 0.9 + 12) for i, p in pictures]
+    assert all(len(images.describe(p)[0]) > 300 for _, p in pictures)
+    assert found_images(spark, asked, pictures, **parameters) == [(str(i), str(i)) for i in range(6)]
+
+
+def test_descriptors_without_contrast_match(spark):
+    corner = spark.createDataFrame([(b"q", 0, 1.0, 1.0, 0.0, 1.0, 0, 0, 0, 0, [0] * 8)], "class binary, k int, x float, y float, angle float, size float, b0 long, b1 long, b2 long, b3 long, cuts array<int>")
+    assert images._near_joined(corner, corner, 56).count() == 1
+
+
 def test_digest_of_contract(spark):
     text = " ".join(f"w{i}" for i in range(25))
     docs = spark.createDataFrame([(1, text, None, None, 0, "", 0), (2, text, None, None, 0, "", 0)], DOCS)
