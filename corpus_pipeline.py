@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each on what the one before it kept.
 
 Each stage is written as Parquet in the shared folder and read again, so lost executors cost no stage.
-All but the last return the columns of ``documents``; the last adds how often the mix takes a document.
+The first gives each row a number of its own, ``row_key``, by which all later ones tell rows apart: ids may be
+null or shared. All but the last return the columns of ``documents`` and the key; the last drops the key and
+adds how often the mix takes a document.
 """
 
 from __future__ import annotations
@@ -14,35 +16,45 @@ from pyspark.sql import functions as F
 from strandline.llm import common, decontaminate, jaccard, langid, mixing, substrings
 
 
+KEY = "row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds a number to each row, in order of id (null first), text and the other columns; identical rows differ."""
+    ordered = docs.withColumns({"__t": F.xxhash64("text"), "__r": F.xxhash64(*docs.columns)})
+    ordered = ordered.repartitionByRange("doc_id", "__t", "__r").sortWithinPartitions("doc_id", "__t", "__r")
+    return ordered.drop("__t", "__r").withColumn(KEY, F.monotonically_increasing_id())
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters or without a clear language (operator 4)."""
-    return langid.keep_identified(docs, langid.fit(docs, ~common.held_out("doc_id", 4, 2)))
+    return keyed(langid.keep_identified(docs, langid.fit(docs, ~common.held_out("doc_id", 4, 2))))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each class of near copies (operator 2)."""
-    classes = jaccard.near_duplicates(docs)
+    """Keeps the first row, by id, of each class of near copies (operator 2)."""
+    classes = jaccard.near_duplicates(docs, id_col=KEY)
     gone = classes.where(F.col("id") != F.col("class_id")).select(F.col("id").alias("__id"))
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    return docs.join(gone, docs[KEY] == gone["__id"], "left_anti")
 
 
 def substring_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out 20-word windows that occur earlier; drops documents of which nothing stays (operator 1)."""
-    return substrings.dedup_documents(docs)
+    return substrings.dedup_documents(docs, id_col=KEY)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item (operator 9)."""
-    index = decontaminate.build_index(docs)
+    index = decontaminate.build_index(docs, id_col=KEY)
     found = decontaminate.contaminated(index, common.table(spark, sf_dir, "benchmark"))
     gone = found.where(F.size("spans") > 0).select(F.col("id").alias("__id"))
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    return docs.join(gone, docs[KEY] == gone["__id"], "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixes sources to their targets; documents that the mix leaves out go (operator 6)."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("id").agg(F.max("copies").cast("long").alias("copies"), F.max("taken").alias("taken"))
-    return docs.join(taken, docs["doc_id"] == taken["id"]).drop(taken["id"])
+    taken = mixing.mix(docs, keep=(KEY,)).where("copies > 0").select(KEY, F.col("copies").cast("long").alias("copies"), "taken")
+    return docs.join(taken, KEY).drop(KEY)
 
 
 STAGES = [

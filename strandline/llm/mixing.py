@@ -93,15 +93,15 @@ def _thresholds(sized: DataFrame, budgets: list[tuple[str | None, float]], bits:
     return found
 
 
-def mix(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, rounds: int = 8, tolerance: float = 0.001, bits: int = 10, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Rows ``id, source, size, source_size, target, copies, taken`` for every document.
+def mix(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, rounds: int = 8, tolerance: float = 0.001, bits: int = 10, id_col: str = "doc_id", text: str = "text", source: str = "source", keep: Sequence[str] = ()) -> DataFrame:
+    """Rows ``id, source, size, source_size, target, copies, taken`` for every document, and its columns ``keep``.
 
     Only sums by source come to the driver (a row for each source). ``copies`` is how often the mix has
     the document, ``taken`` the words of them all.
     """
     spark = docs.sparkSession
-    named = docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    sized = common.cut(word_counts(named, "id", "source").withColumn("hash", id_hash("id")))
+    named = docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"), *keep)
+    sized = common.cut(word_counts(named, "id", "source", *keep).withColumn("hash", id_hash("id")))
     sizes = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     target = targets(sizes, weights, share, most)
     whole = {s: int(t // n) if (n := sizes[s]) else 0 for s, t in target.items()}
@@ -120,7 +120,7 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1
     extra = F.exists(F.arrays_zip("__cuts", "__fits"), lambda c: (F.col("hash") < c["__cuts"]) & (F.col("size") <= c["__fits"]))
     rows = sized.join(F.broadcast(plan) if len(target) <= 100_000 else plan, F.col("__s").eqNullSafe(F.col("source")))
     copies = F.col("__whole") + F.when((F.col("size") > 0) & extra, 1).otherwise(0)
-    return rows.select("id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.select("id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep)
 
 
 def op6_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, decontaminate, html, images, jaccard, katz, langid, mixing, quality, substrings
+import corpus_pipeline
+from strandline.llm import chat, common, decontaminate, html, images, jaccard, katz, langid, mixing, quality, substrings
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, size int"
 
@@ -238,6 +239,28 @@ def test_descriptors_without_contrast_match(spark):
     assert images._near_joined(corner, corner, 56).count() == 1
 
 
+def test_pipeline_tells_rows_apart(spark, tmp_path):
+    rng = random.Random(11)
+    text = lambda n=40: " ".join(rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(n))
+    a, b, c, shared, leak, near = (text() for _ in range(6))
+    rows = [(1, a), (1, a), (None, b), (None, b), (2, b), (None, c), (3, near), (4, near + " more"), (4, shared), (5, f"x {leak}"), (5, text()), (None, f"y {leak} {text()}"), (None, text())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    corpus_pipeline.keyed(docs).write.parquet(f"{tmp_path}/keyed")  # a size is known of files only
+    docs = spark.read.parquet(f"{tmp_path}/keyed")
+    assert docs.select("row_key").distinct().count() == len(rows)
+    left = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    unique = [(1, a), (None, b), (None, c), (3, near), (4, shared), *rows[9:]]
+    assert left(corpus_pipeline.near_copies(spark, docs, "")) == sorted(unique, key=str)
+    kept = common.cut(corpus_pipeline.substring_copies(spark, docs, ""))
+    assert sum(r["text"] == a for r in kept.collect()) == 1 and sum(r["text"] == b for r in kept.collect()) == 1
+    clean = common.cut(corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path)))
+    assert left(clean) == sorted((r for r in rows if leak not in r[1]), key=str)
+    mixed = corpus_pipeline.source_mix(spark, docs, "").collect()
+    taken = sum(r["copies"] for r in mixing.mix(docs).collect())
+    assert sum(r["copies"] for r in mixed) == taken and sum(r["doc_id"] is None for r in mixed) == 5 and len(mixed) == len(rows)
+
+
 def test_digest_of_contract(spark):
     text = " ".join(f"w{i}" for i in range(25))
     docs = spark.createDataFrame([(1, text, None, None, 0, "", 0), (2, text, None, None, 0, "", 0)], DOCS)
