@@ -129,6 +129,13 @@ def test_site_tree_drops_repeated_branch(spark):
     assert got[3] == "Own text 3" and got[90] == ""
 
 
+@pytest.mark.parametrize("many", [4, 5])
+def test_shared_headings_of_articles_stay(spark, many):
+    pages = [(i, "http://h.example/x", f"<body><div class='content has-sidebar'><article><h1>Dish {i}</h1><h2>Ingredients</h2><p>Own {i}</p><div class='no-header'>More {i}</div></article></div><div class=sidebar>Side</div></body>") for i in range(many)]
+    got = {r["id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Dish {i} Ingredients Own {i} More {i}" for i in range(many)}
+
+
 def test_mixing(spark, docs, none):
     got = mixing.mix(docs).collect()
     assert len(got) == len(corpus()) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
