@@ -65,7 +65,7 @@ STAGES = [
     ("source_mix", source_mix),
 ]
 
-#: Language identification is a fitted model, so the rows are tested against brute force instead.
+#: Language identification is a fitted model, so no SQL gives these rows; tests hold the stages after it.
 ORACLE_SQL = None
 
 
