@@ -44,15 +44,24 @@ def bounded_batches(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of what the frame reads; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, *columns: str) -> int:
+    """Bytes of these text columns over all rows, measured in one job: compressed sizes say little."""
+    each = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in columns]
+    return int(df.agg(F.sum(sum(each[1:], each[0]))).first()[0] or 0)
 
 
-def parts_for(df: DataFrame, growth: float, target: int = 16 << 20) -> int:
-    """Partitions so that ``growth`` times the input is dealt out in pieces of about ``target`` bytes."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(least, math.ceil(input_bytes(df) * growth / target)), 200_000)
+#: More tasks than this gain nothing; beyond it a task takes several buckets, one after the other.
+MOST_TASKS = 20_000
+
+
+def buckets_for(df: DataFrame, size: float, target: int = 16 << 20) -> int:
+    """Buckets of about ``target`` bytes for so many in all, as many as it takes."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / target))
+
+
+def by_key(df: DataFrame, buckets: int, *keys: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Deals rows out by key, sorted by key within each task."""
+    return df.repartition(min(buckets, MOST_TASKS), *keys).sortWithinPartitions(*keys, *order)
 
 
 def held_out(column: str, parts: int, part: int) -> Column:

@@ -45,6 +45,8 @@ _NO_ID = -(1 << 63)
 _MOST_COMMON = 1_000_000
 #: Bytes of text, and of packed tokens in a bucket, that a task holds at once.
 _PART, _BUCKET = 2 << 20, 5 << 20
+#: Packed bytes of counted tokens and of listed ones, by bytes of text, at most.
+_COUNTED, _LISTED = 0.6, 0.6
 
 
 def _sets(part: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,15 +96,15 @@ def _frequent(least: int):
     return by_bucket(work)
 
 
-def common_tokens(rows: DataFrame, n: int, bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+def common_tokens(rows: DataFrame, n: int, bits: int, least: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens (the upper ``bits`` of shingle hashes) that occur ``least`` times or more, with their counts.
 
     At most a million rows come to the driver: where there are more, ``least`` doubles. That changes the
     order of tokens and so the number of candidates, never a result.
     """
-    buckets = common.parts_for(rows.select("text"), 1.5, _BUCKET)
+    buckets = common.buckets_for(rows, _COUNTED * size, _BUCKET)
     dealt = rows.mapInArrow(_count(n, bits, buckets), "bucket long, tokens binary, times binary")
-    found = common.cut(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_frequent(least), "token long, times long"))
+    found = common.cut(common.by_key(dealt, buckets, "bucket").mapInArrow(_frequent(least), "token long, times long"))
     scale = {r["k"]: r["n"] for r in found.groupBy(F.floor(F.log2(F.col("times") / least)).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()}
     k = 0
     while sum(v for u, v in scale.items() if u >= k) > _MOST_COMMON:
@@ -341,17 +343,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     twice = bool(docs.groupBy(own.alias("id")).count().where("count > 1").take(1))
     node = F.xxhash64(own, F.coalesce(F.col(text), F.lit(""))) if twice else own
     rows = docs.select(own.alias("id"), node.alias("node"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    bits = min(63, max(40, math.ceil(math.log2(max(1, common.input_bytes(docs.select(text))))) + 12))
-    shared = sc.broadcast(common_tokens(rows, n, bits, common_from))
+    size = common.text_bytes(docs, text)
+    bits = min(63, max(40, math.ceil(math.log2(max(1, size))) + 12))
+    shared = sc.broadcast(common_tokens(rows, n, bits, common_from, size))
     described = common.cut(rows.mapInArrow(_describe(n, bits, num, den, shared), _DESCRIBED))
 
     sets = described.groupBy("s1", "s2", "size").agg(F.min("node").alias("node"), F.min("id").alias("least_id"))
     keys = ("s1", "s2", "size")
     reps = described.where("size > 0").groupBy(*keys).agg(F.min("node").alias("node"), F.first("prefix").alias("prefix"))
     maps = described.where("size > 0").groupBy(*keys).agg(F.min("node").alias("node"), F.first("parity").alias("parity")).select("node", "size", "parity")
-    buckets = common.parts_for(docs.select(text), 1, _BUCKET)
+    buckets = common.buckets_for(docs, _LISTED * size, _BUCKET)
     dealt = reps.select("node", "size", "prefix").mapInArrow(_post(bits, buckets), "bucket long, token binary, place binary, node binary, size binary")
-    pairs = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_pairs(num, den, list_limit), "a long, b long, star long")
+    pairs = common.by_key(dealt, buckets, "bucket").mapInArrow(_pairs(num, den, list_limit), "a long, b long, star long")
     pairs = pairs.groupBy("a", "b").agg(F.max("star").alias("star"))
     for side in ("a", "b"):
         pairs = pairs.join(maps.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("parity").alias(f"parity_{side}")), side)
@@ -360,7 +363,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     tasks = common.cut(_tasks(families, sets.select("node", "size"), block, num, den))
     texts = rows.select("node", "text").join(tasks, "node")
-    sorted_tasks = texts.repartition(common.parts_for(docs.select(text), 2), "family", "k1", "k2").sortWithinPartitions("family", "k1", "k2")
+    sorted_tasks = common.by_key(texts, common.buckets_for(docs, size), "family", "k1", "k2")
     links = sorted_tasks.mapInArrow(_open_families(n, num, den, group), "a long, b long")
     linked = components(links)
 

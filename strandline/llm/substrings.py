@@ -10,11 +10,13 @@ Map side, super-k-mers with equal strings in one chunk of text are settled there
 others are repeats already. So a passage that a third of all documents share reaches its bucket once for
 each chunk, not for each document.
 
-A bucket's share of the packed text is fixed by the size of the input (``common.parts_for``); a task holds
-one bucket at a time. Windows are compared by two independent 64-bit hashes of their words.
+The number of buckets follows from the measured bytes of text. A task works on one bucket at a time and on
+a bounded part of it: repeats of a part are settled, and only super-k-mers with a first occurrence go on to the
+next part. So a passage that is everywhere takes the memory of one copy. Windows are compared by two independent
+64-bit hashes of their words.
 
 Defined cases: documents are ordered by id, a null id before all others; rows that share an id are
-documents of their own, ordered by text; rows alike in id and text are one document twice, and get the
+documents of their own, ordered by a hash of the text; rows alike in id and text are one document twice, and get the
 same result. Null or empty text has no words. Other columns pass through ``dedup_documents`` unchanged.
 """
 
@@ -28,9 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, words
-from .packing import by_bucket, pack, split_by, unpack, unzip_bytes, zip_bytes
+from .packing import pack, split_by, unpack, unzip_bytes, zip_bytes
 
 _NO_ID = -(1 << 63)
+#: Bytes of super-k-mers by bytes of text: windows of 20 words share some 8 to a minimiser.
+_GROWTH = 3.6
 _PACKED = "bucket long, strings binary, doc binary, tie binary, start binary"
 
 
@@ -111,7 +115,10 @@ def _deal(window: int, seed: int, buckets: int):
 
 
 def _repeats(strings: list[bytes], doc: np.ndarray, tie: np.ndarray, start: np.ndarray, window: int):
-    """Word ranges of all windows of a bucket that occur earlier: sort the windows, look at neighbours."""
+    """Word ranges of all windows that occur earlier, and which super-k-mers hold a first occurrence.
+
+    Sorts the windows and looks at neighbours.
+    """
     data = np.frombuffer(b"\n".join(strings), np.uint8)
     breaks = np.flatnonzero(data == 10)
     at = np.concatenate([[0], breaks + 1, [len(data)]])
@@ -133,32 +140,60 @@ def _repeats(strings: list[bytes], doc: np.ndarray, tie: np.ndarray, start: np.n
     again = (doc[owner[leader]] == doc[owner[order]]) & (tie[owner[leader]] == tie[owner[order]]) & (begin[leader] == begin[order])
     repeat = np.zeros(len(order), bool)
     repeat[order] = ~head & ~again
+    live = np.bincount(owner[order[head]], minlength=len(doc)) > 0
     hit = np.flatnonzero(repeat)
-    if not len(hit):
-        return None
     cut = np.ones(len(hit), bool)
     cut[1:] = (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])
     low = hit[cut]
-    high = hit[np.append(np.flatnonzero(cut)[1:], len(hit)) - 1]
+    high = hit[np.append(np.flatnonzero(cut)[1:], len(hit)) - 1] if len(hit) else hit
     own = owner[low]
-    return doc[own], tie[own], begin[low], begin[high] + window
+    return (doc[own], tie[own], begin[low], begin[high] + window), live
+
+
+#: Bytes of super-k-mers that a task sorts at once.
+_PART = 12 << 20
+
+
+def _ranges(d: np.ndarray, t: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["d", "t", "s", "e"])
 
 
 def _sort_buckets(window: int):
-    """Reduce side: rows come sorted by bucket; one bucket is in memory at a time."""
+    """Reduce side: rows come sorted by bucket; a bounded part of one bucket is in memory at a time."""
 
-    def settle(rows: list[dict]) -> pa.RecordBatch | None:
-        doc, tie = (np.concatenate([unpack(r[k], np.int64) for r in rows]) for k in ("doc", "tie"))
-        start = np.concatenate([unpack(r["start"], np.int32) for r in rows])
-        if rows[0]["bucket"] < 0:
-            found = doc, tie, start, np.concatenate([unpack(r["strings"], np.int32) for r in rows])
-        else:
-            found = _repeats(b"\n".join(unzip_bytes(r["strings"]) for r in rows).split(b"\n"), doc, tie, start, window)
-        if found is None:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2].astype(np.int32)), pa.array(found[3].astype(np.int32))], ["d", "t", "s", "e"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size, limit = None, [], 0, _PART
+
+        def settle() -> pa.RecordBatch:
+            nonlocal held, size, limit
+            strings = [x for h in held for x in h[0]]
+            doc, tie, start = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
+            found, live = _repeats(strings, doc, tie, start, window)
+            strings = [strings[i] for i in np.flatnonzero(live).tolist()]
+            held, size = [(strings, doc[live], tie[live], start[live])], sum(map(len, strings))
+            limit = max(_PART, 2 * size)  # distinct text of a bucket is what it is; copies are not
+            return _ranges(*found)
 
-    return by_bucket(settle)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bucket, strings, *rest = (batch.column(n)[i].as_py() for n in ("bucket", "strings", "doc", "tie", "start"))
+                doc, tie, start = (unpack(x, k) for x, k in zip(rest, (np.int64, np.int64, np.int32)))
+                if bucket < 0:
+                    yield _ranges(doc, tie, start, unpack(strings, np.int32))
+                    continue
+                if bucket != now:
+                    if size:
+                        yield settle()
+                    now, held, size, limit = bucket, [], 0, _PART
+                raw = unzip_bytes(strings)
+                held.append((raw.split(b"\n"), doc, tie, start))
+                size += len(raw)
+                if size > limit:
+                    yield settle()
+        if size:
+            yield settle()
+
+    return run
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +232,9 @@ def repeated_ranges(docs: DataFrame, window: int = 20, seed: int = 6, *, id_col:
     """Rows ``d, t, s, e``: words s to e - 1 of document (d, t) are covered by windows that start earlier."""
     d, t = keys or _keys(docs, id_col, text)
     rows = docs.select(d.alias("d"), t.alias("t"), F.col(text).cast("string").alias("text")).where("text is not null")
-    buckets = common.parts_for(docs.select(text), 6, 8 << 20)
+    buckets = common.buckets_for(docs, _GROWTH * common.text_bytes(docs, text), 8 << 20)
     dealt = rows.mapInArrow(_deal(window, seed, buckets), _PACKED)
-    by_bucket = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return by_bucket.mapInArrow(_sort_buckets(window), "d long, t long, s int, e int")
+    return common.by_key(dealt, buckets, "bucket").mapInArrow(_sort_buckets(window), "d long, t long, s int, e int")
 
 
 def dedup(docs: DataFrame, window: int = 20, seed: int = 6, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,7 +113,8 @@ def test_language(spark, none):
     got = {r["id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
     assert got[0] == got[22] == "de" and got[10] == "en" and got[20] == got[21] == "und" and got[23] in ("de", "en")
     assert langid.keep_identified(docs, model).where("doc_id in (20, 21)").count() == 0
-    assert langid.fit(docs.where("lang is null"), F.lit(True)).predict("text") == ("und", 0.0)
+    found, score = langid.fit(docs.where("lang is null"), F.lit(True)).predict(pa.array(["text"]))
+    assert found == ["und"] and score.tolist() == [0.0]
 
 
 def test_html():
