@@ -72,8 +72,15 @@ class _Segment:
         self.terms, self.counts, self.postings = read("terms", np.uint64), read("counts", np.int32), read("postings", np.int32)
         self.size = len(self.postings)
         self.heads = np.cumsum(self.counts, dtype=np.int64) - self.counts
-        self.term_at = np.empty(self.size, np.int32)
-        self.term_at[self.postings] = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.counts)
+        #: all postings as one ascending list of (term, position)
+        self.keys = np.repeat(np.arange(len(self.terms)), self.counts) * np.int64(self.size + 1) + self.postings
+
+    def next_posting(self, terms: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The first posting of each term at a position or after it; past a term's list: huge."""
+        base = terms * np.int64(self.size + 1)
+        at = np.searchsorted(self.keys, base + low)
+        found = self.keys[np.minimum(at, len(self.keys) - 1)] - base
+        return np.where((at < len(self.keys)) & (found <= self.size), found, np.iinfo(np.int64).max)
 
     def look_up(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of phrases all of whose terms occur: their numbers, terms and posting counts (past the end: huge)."""
@@ -109,7 +116,7 @@ class _Segment:
             own, begin = own[keep], begin[keep]
             for step in range(1, phrases.shape[1]):
                 offset = order[own, step]
-                keep = (step >= size[own]) | (self.term_at[np.minimum(begin + offset, self.size - 1)] == terms[own, offset])
+                keep = (step >= size[own]) | (self.next_posting(terms[own, offset], begin + offset) == begin + offset)
                 own, begin = own[keep], begin[keep]
             doc = np.searchsorted(self.first, begin, "right") - 1
             keep = begin + size[own] <= self.first[doc + 1]
@@ -121,15 +128,12 @@ class _Segment:
         live, terms, counts = self.look_up(phrases, lengths)
         if not len(live):
             return live, live
-        key = np.repeat(np.arange(len(self.terms)), self.counts) * np.int64(self.size + 1) + self.postings
         found = []
         for own, spot in self.starts(terms, counts):
             for step in range(phrases.shape[1]):
                 doc = np.searchsorted(self.first, spot, "right") - 1
                 low, high = np.maximum(spot - within, self.first[doc]), np.minimum(spot + within, self.first[doc + 1] - 1)
-                base = terms[own, step] * np.int64(self.size + 1)
-                at = np.searchsorted(key, base + low)
-                keep = (step >= lengths[live[own]]) | (key[np.minimum(at, len(key) - 1)] <= base + high) & (at < len(key))
+                keep = (step >= lengths[live[own]]) | (self.next_posting(terms[own, step], low) <= high)
                 own, spot = own[keep], spot[keep]
             found.append((live[own], spot))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
@@ -192,7 +196,7 @@ def _item_blocks(items: DataFrame, window: int, block_bytes: int, item_col: str,
         yield blocks, windows_of(part.toArrow(), window)
 
 
-def contaminated(index: DataFrame, items: DataFrame, window: int = 10, *, block_bytes: int = 16 << 20, item_col: str = "item_id", text: str = "text") -> DataFrame:
+def contaminated(index: DataFrame, items: DataFrame, window: int = 10, *, block_bytes: int = 4 << 20, item_col: str = "item_id", text: str = "text") -> DataFrame:
     """Rows ``id, n_words, spans, items`` for every document of the index."""
     sc, stored, parts = index.sparkSession.sparkContext, None, []
     for blocks, phrases in _item_blocks(items, window, block_bytes, item_col, text):
@@ -223,7 +227,7 @@ def _with_segment(stored: DataFrame, shared) -> DataFrame:
     return stored.mapInArrow(run, f"segment long, {_HITS}")
 
 
-def search(index: DataFrame, items: DataFrame, window: int = 10, *, within: int | None = None, block_bytes: int = 16 << 20, item_col: str = "item_id", text: str = "text") -> DataFrame:
+def search(index: DataFrame, items: DataFrame, window: int = 10, *, within: int | None = None, block_bytes: int = 4 << 20, item_col: str = "item_id", text: str = "text") -> DataFrame:
     """Rows ``id, item, kind, start, length`` for each match: ``phrase``, or ``near`` where ``within`` is given."""
     sc, out = index.sparkSession.sparkContext, None
     for _, phrases in _item_blocks(items, window, block_bytes, item_col, text):

@@ -276,3 +276,11 @@ def test_digest_of_contract(spark):
     rows = {r["id"]: r for r in substrings.dedup(docs).collect()}
     assert rows[1]["kept"] == text and rows[2]["kept"] == "" and rows[2]["n_removed"] == 25
     assert hashlib.sha256(b"").hexdigest() == docs.select(F.sha2(F.lit("").cast("binary"), 256)).first()[0]
+
+
+def test_html_of_deep_pages(spark):
+    deep = "<div>a" * 5000 + "</p>" * 5000 + "x"
+    pages = [(i, "http://d.example/", f"<div class=s>Same</div>{deep} {i}") for i in range(6)] + [(7, None, ""), (7, None, ""), (None, "http://d.example/", "<div")]
+    got = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
+    assert len(got) == 9 and all(r["text"].startswith("a a a") and r["text"].endswith(f"x {r['id']}") for r in got if r["id"] is not None and r["id"] < 6)
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
