@@ -212,10 +212,14 @@ def mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(values), F.lit(1))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, though lambdas inside ``f`` use it for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def stddev(values: Column) -> Column:
     """Population standard deviation, from the mean."""
-    m = mean(values)
-    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.greatest(F.size(values), F.lit(1)))
+    return let(mean(values), lambda m: F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.greatest(F.size(values), F.lit(1))))
 
 
 def window(s: Column, a: Column, b: Column) -> Column:
@@ -226,7 +230,7 @@ def add_volatility(s: Column, g: Getter) -> Column:
     a, b = interval(s, g)
     inside = finite(window(s, a, b))
     reference = F.coalesce(g("baseline"), F.when(F.size(inside) > 0, mean(inside)).otherwise(F.lit(0.0)))
-    return over(s, a, b, lambda v, k, i: reference + (v - reference) * g("volatility_scale"))
+    return let(reference, lambda r: over(s, a, b, lambda v, k, i: r + (v - r) * g("volatility_scale")))
 
 
 def add_level_shift(s: Column, g: Getter) -> Column:

@@ -133,7 +133,7 @@ def local_extreme(s: Column, g: Getter, high: bool) -> Column:
     sign = 1.0 if high else -1.0
     x = F.transform(P.finite(segment(s, g)), lambda v: v * sign)
     top = F.array_max(x)
-    next_value = F.coalesce(F.array_max(F.filter(x, lambda v: v < top)), center * sign)
+    next_value = F.coalesce(P.let(top, lambda highest: F.array_max(F.filter(x, lambda v: v < highest))), center * sign)
     near = F.transform(_neighbours(s, t), lambda v: v * sign)
     windowed = g("end_timestep").isNotNull() & (g("end_timestep") > g("start_timestep"))
     reference = F.when(windowed, next_value).otherwise(F.array_max(near))
@@ -204,13 +204,13 @@ def check_change_point(s: Column, g: Getter) -> Column:
 
 def spectrum(x: Column) -> Column:
     """(power, -bin) of each frequency of a centered segment; greatest() gives the strongest, first bin."""
-    n, m = F.size(x), P.mean(x)
+    n = F.size(x)
 
-    def power(k: Column) -> Column:
+    def power(k: Column, m: Column) -> Column:
         part = lambda f: F.aggregate(F.transform(x, lambda v, i: (v - m) * f(2 * math.pi * k * i / n)), F.lit(0.0), lambda a, y: a + y)
         return F.struct((F.pow(part(F.cos), 2) + F.pow(part(F.sin), 2)).alias("power"), (-k).alias("minus"))
 
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.floor(n / 2).cast("int"), F.lit(1))), power)
+    return P.let(P.mean(x), lambda m: F.transform(F.sequence(F.lit(1), F.greatest(F.floor(n / 2).cast("int"), F.lit(1))), lambda k: power(k, m)))
 
 
 def check_seasonality(s: Column, g: Getter) -> Column:

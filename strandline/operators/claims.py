@@ -83,9 +83,9 @@ def scale(s: Column) -> Column:
 
 def slope(s: Column) -> Column:
     """Least squares of degree one over the indices."""
-    n, m = F.size(s), P.mean(s)
+    n = F.size(s)
     middle = (n - 1) / 2.0
-    top = F.aggregate(F.zip_with(s, F.sequence(F.lit(0), n - 1), lambda v, i: (v - m) * (i - middle)), F.lit(0.0), lambda a, x: a + x)
+    top = P.let(P.mean(s), lambda m: F.aggregate(F.transform(s, lambda v, i: (v - m) * (i - middle)), F.lit(0.0), lambda a, x: a + x))
     return top / F.greatest(n * (n * n - 1) / 12.0, F.lit(1e-12))
 
 
@@ -256,7 +256,7 @@ def event_claims(text: Column, s: Column) -> Column:
     def aligned(kind: str, best: Column) -> Column:
         at = F.array_position(s, best).cast("int") - 1
         time = lambda a: F.greatest(F.lit(0.0), 1 - F.abs(at - a["index"]) / 12.0)
-        value = lambda a: F.coalesce(F.greatest(F.lit(0.0), 1 - F.abs(best - a["value"]) / F.greatest(0.05 * size, F.lit(0.5))), F.lit(1.0))
+        value = lambda a: F.when(a["value"].isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(best - a["value"]) / F.greatest(0.05 * size, F.lit(0.5))))
         return F.transform(event_anchors(text, n, kind), lambda a: claim(f"{kind}_alignment", 0.55 * time(a) + 0.45 * value(a), 0.9))
 
     return F.concat(aligned("peak", F.array_max(s)), aligned("trough", F.array_min(s)))
@@ -429,7 +429,7 @@ def _event_sql(kind: str) -> str:
     second = f"SELECT user_id, {_at_sql('g0', '$$timestep$$')} AS i, CASE WHEN g1 <> '' THEN g1 END::DOUBLE AS x FROM (SELECT user_id, n, {_matches_sql(timed, (1, 2))} FROM c)"
     third = f"SELECT user_id, {_at_sql('g0', 'g1')} AS i, NULL::DOUBLE AS x FROM (SELECT user_id, n, {_matches_sql(placed, (1, 2))} FROM c)"
     best = "hi" if kind == "peak" else "lo"
-    score = f"0.55::DOUBLE * greatest(0.0::DOUBLE, 1 - abs(list_position(s, {best}) - 1 - i) / 12.0::DOUBLE) + 0.45::DOUBLE * coalesce(greatest(0.0::DOUBLE, 1 - abs({best} - x) / greatest(0.05::DOUBLE * size, 0.5::DOUBLE)), 1.0::DOUBLE)"
+    score = f"0.55::DOUBLE * greatest(0.0::DOUBLE, 1 - abs(list_position(s, {best}) - 1 - i) / 12.0::DOUBLE) + 0.45::DOUBLE * CASE WHEN x IS NULL THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - abs({best} - x) / greatest(0.05::DOUBLE * size, 0.5::DOUBLE)) END"
     return f"SELECT user_id, {7 if kind == 'peak' else 8} AS o, {_claim_sql(_q(kind + '_alignment'), score, 0.9)} AS c FROM (SELECT DISTINCT user_id, i, x FROM ({first} UNION ALL {second} UNION ALL {third})) JOIN c USING (user_id)"
 
 

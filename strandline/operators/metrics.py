@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..catalog import query
+from ..functions import primitives as P
 from ..sources.series import POINTS_SQL, points, rounded, rounded_sql, user_series
 
 EPSILON = 1e-8
@@ -174,9 +175,9 @@ def m09(spark, sf_dir):
     return _round_all(rows.groupBy("user_id").agg(low.alias("low"), high.alias("high"), wide.alias("wide_low")), "user_id")
 
 
-@query("m10_min_max_scaling", f"WITH {POINTS_SQL}, z AS (SELECT user_id, t, v, min(v) OVER w AS low, max(v) OVER w AS high FROM p WHERE t < 45 WINDOW w AS (PARTITION BY user_id % 4, t)) SELECT user_id, t::INT AS t, {_select_sql({'scaled': 'CASE WHEN high > low THEN (v - low) / nullif(high - low, 0) ELSE 0 END', 'restored': 'CASE WHEN high > low THEN (v - low) / nullif(high - low, 0) ELSE 0 END * (high - low) + low'})} FROM z")
+@query("m10_min_max_scaling", f"WITH {POINTS_SQL}, z AS (SELECT user_id, t, v, min(v) OVER w AS low, max(v) OVER w AS high FROM p WINDOW w AS (PARTITION BY user_id % 4, t)) SELECT user_id, t::INT AS t, {_select_sql({'scaled': 'CASE WHEN high > low THEN (v - low) / nullif(high - low, 0) ELSE 0 END', 'restored': 'CASE WHEN high > low THEN (v - low) / nullif(high - low, 0) ELSE 0 END * (high - low) + low'})} FROM z")
 def m10(spark, sf_dir):
-    rows = points(user_series(spark, sf_dir), "user_id").where("t < 45").withColumn("dataset", F.col("user_id") % 4)
+    rows = points(user_series(spark, sf_dir), "user_id").withColumn("dataset", F.col("user_id") % 4)
     return _round_all(min_max(rows, "dataset").select("user_id", "t", "scaled", "restored"), "user_id", "t")
 
 
@@ -256,16 +257,28 @@ def n06(spark, sf_dir):
     return e.select("user_id", "t", "kind", rounded(F.col("p")).alias("prominence"), rank.alias("rank"))
 
 
+def nearest(asked: DataFrame, series: DataFrame, block: int = 500) -> DataFrame:
+    """For each asked series the nearest other one by RMSE over their common timesteps, with the span of the asked.
+
+    Asked series meet all others in blocks, so that a task holds one block at a time.
+    """
+    blocks = max(1, -(-asked.count() // block))
+    q = asked.select(F.col("user_id").alias("q"), F.col("values").alias("x"), F.pmod(F.xxhash64("user_id"), F.lit(blocks)).alias("block"))
+    rows = series.select("user_id", "values", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    n = F.least(F.size("x"), F.size("values"))
+    off = P.mean(F.zip_with(F.slice("x", 1, n), F.slice("values", 1, n), lambda a, b: (a - b) * (a - b)))
+    d = rows.join(q, "block").where("q != user_id").select("q", "user_id", F.sqrt(off).alias("rmse"), (F.array_max("x") - F.array_min("x")).alias("span"))
+    return d.groupBy("q").agg(F.min_by("user_id", F.struct("rmse", "user_id")).alias("nearest"), F.min("rmse").alias("rmse"), F.first("span").alias("span"))
+
+
 @query(
     "g11_nearest_series",
-    f"""WITH {POINTS_SQL}, h AS (SELECT * FROM p WHERE t < 45), d AS (SELECT a.user_id AS q, b.user_id AS m, sqrt(avg((a.v - b.v) * (a.v - b.v))) AS rmse, max(a.v) - min(a.v) AS span FROM h a JOIN h b ON a.t = b.t AND a.user_id <> b.user_id WHERE a.user_id % 50 = 0 GROUP BY a.user_id, b.user_id)
-SELECT q AS user_id, arg_min(m, (rmse, m)) AS nearest, {rounded_sql('min(rmse)')} AS rmse, min(rmse) / greatest(any_value(span), 1e-8) <= 0.10 AS accepted FROM d GROUP BY q""",
+    f"""WITH {POINTS_SQL}, d AS (SELECT a.user_id AS q, b.user_id AS m, sqrt(avg((a.v - b.v) * (a.v - b.v))) AS rmse FROM p a JOIN p b ON a.t = b.t AND a.user_id <> b.user_id WHERE a.user_id % 50 = 0 GROUP BY a.user_id, b.user_id),
+s AS (SELECT user_id, max(v) - min(v) AS span FROM p GROUP BY user_id), b AS (SELECT q, arg_min(m, (rmse, m)) AS nearest, min(rmse) AS r FROM d GROUP BY q)
+SELECT q AS user_id, nearest, {rounded_sql('r')} AS rmse, r / greatest(span, 1e-8) <= 0.10 AS accepted FROM b JOIN s ON s.user_id = q""",
 )
 def g11(spark, sf_dir):
-    """Nearest series by RMSE for a stated query set: users whose id is divisible by 50, against all."""
-    h = points(user_series(spark, sf_dir), "user_id").where("t < 45")
-    asked = h.where("user_id % 50 = 0").select(F.col("user_id").alias("q"), "t", F.col("v").alias("x"))
-    span = asked.groupBy("q").agg((F.max("x") - F.min("x")).alias("span"))
-    d = asked.join(h, "t").where("q != user_id").groupBy("q", "user_id").agg(F.sqrt(F.avg((F.col("x") - F.col("v")) ** 2)).alias("rmse")).join(span, "q")
-    best = d.groupBy("q").agg(F.min_by("user_id", F.struct("rmse", "user_id")).alias("nearest"), F.min("rmse").alias("r"), F.first("span").alias("span"))
-    return best.select(F.col("q").alias("user_id"), "nearest", rounded(F.col("r")).alias("rmse"), (F.col("r") / F.greatest("span", F.lit(1e-8)) <= 0.10).alias("accepted"))
+    """Nearest series for a stated query set: users whose id is divisible by 50, against all."""
+    series = user_series(spark, sf_dir)
+    best = nearest(series.where("user_id % 50 = 0"), series)
+    return best.select(F.col("q").alias("user_id"), "nearest", rounded(F.col("rmse")).alias("rmse"), (F.col("rmse") / F.greatest("span", F.lit(1e-8)) <= 0.10).alias("accepted"))

@@ -70,21 +70,40 @@ def a04(spark, sf_dir):
     return rows.join(base, "case_id", "left").select("method", x.alias("x")).groupBy("method").agg(rounded(F.avg("x")).alias("mean"), rounded(F.percentile("x", 0.5)).alias("median"))
 
 
-_ERROR_SQL = "CASE WHEN (case_id + j) % 5 = 0 THEN 'No JSON object found' WHEN (case_id + j) % 5 = 1 THEN 'series length ' || (n - 3) || ' does not match ' || n WHEN (case_id + j) % 5 = 2 THEN 'disallowed import' WHEN (case_id + j) % 5 = 3 THEN 'execution failed: overflow' ELSE 'timeout' END"
+#: The wording of messages by which failures are told apart, and their buckets, in order.
+BUCKETS = [
+    ("does not match expected length", "length_mismatch"), ("__name__", "missing___name__"), ("could not broadcast input array", "shape_broadcast_mismatch"), ("Disallowed numpy call", "unsupported_numpy_api"),
+    ("Only whitelisted `np.*` calls are allowed.", "unsupported_numpy_api"), ("Disallowed function call", "disallowed_function_call"), ("No JSON object found", "json_parse_failure"),
+]
+_MESSAGES = [
+    "Generated series length {a} does not match expected length {e}.", "name '__name__' is not defined", "could not broadcast input array from shape (24,) into shape (25,)", "Disallowed numpy call: np.fft.fft", "Only whitelisted `np.*` calls are allowed.",
+    "Disallowed function call: open", "No JSON object found\nin the output", "timeout " + "while waiting for a planner " * 8,
+]
+_ERROR_SQL = f"replace(replace([{', '.join(chr(39) + m.replace(chr(39), chr(39) * 2) + chr(39) for m in _MESSAGES)}][1 + (case_id + j) % {len(_MESSAGES)}], '{{a}}', (n - 3 + case_id % 7)::VARCHAR), '{{e}}', n::VARCHAR)"
 
 
 def errors(rows: DataFrame) -> DataFrame:
-    k = (F.col("case_id") + F.col("j")) % 5
-    text = F.when(k == 0, "No JSON object found").when(k == 1, F.concat(F.lit("series length "), (F.col("n") - 3).cast("string"), F.lit(" does not match "), F.col("n").cast("string"))).when(k == 2, "disallowed import").when(k == 3, "execution failed: overflow").otherwise("timeout")
-    return rows.withColumn("error", text)
+    """Adds a message to each record, of all kinds in turn."""
+    text = F.element_at(F.array(*map(F.lit, _MESSAGES)), ((F.col("case_id") + F.col("j")) % len(_MESSAGES) + 1).cast("int"))
+    actual = F.replace(text, F.lit("{a}"), (F.col("n") - 3 + F.col("case_id") % 7).cast("string"))
+    return rows.withColumn("error", F.replace(actual, F.lit("{e}"), F.col("n").cast("string")))
 
 
 def bucket(error: Column) -> Column:
-    low = F.lower(error)
-    return F.when(low.contains("json"), "parse_failure").when(low.contains("length") & low.contains("does not match"), "length_mismatch").when(low.contains("disallowed") | low.contains("unsafe"), "unsafe_code").when(low.contains("execution") | low.contains("failed"), "execution_failed").otherwise("other")
+    out = F.when(F.lit(False), "")
+    for words, name in BUCKETS:
+        out = out.when(error.contains(words), name)
+    return out.otherwise("other_execution_failure")
 
 
-_BUCKET_SQL = "CASE WHEN contains(lower(error), 'json') THEN 'parse_failure' WHEN contains(lower(error), 'length') AND contains(lower(error), 'does not match') THEN 'length_mismatch' WHEN contains(lower(error), 'disallowed') OR contains(lower(error), 'unsafe') THEN 'unsafe_code' WHEN contains(lower(error), 'execution') OR contains(lower(error), 'failed') THEN 'execution_failed' ELSE 'other' END"
+_BUCKET_SQL = "CASE " + " ".join(f"WHEN contains(error, '{w}') THEN '{b}'" for w, b in BUCKETS) + " ELSE 'other_execution_failure' END"
+LENGTHS = r"length (\d+) does not match expected length (\d+)"
+
+
+def length_difference(error: Column) -> Column:
+    """Actual minus expected length of a mismatch message, signed, or null."""
+    actual, expected = (F.regexp_extract(error, LENGTHS, k).try_cast("int") for k in (1, 2))
+    return F.format_string("%+d", F.when(F.regexp_like(error, F.lit(LENGTHS)), actual - expected))
 
 
 @query("a10_failure_buckets", f"WITH {_RECORDS_SQL}, e AS (SELECT method, {_ERROR_SQL} AS error FROM r WHERE status <> 'success') SELECT method, {_BUCKET_SQL} AS bucket, count(*) AS cases FROM e GROUP BY 1, 2")
@@ -92,20 +111,34 @@ def a10(spark, sf_dir):
     return errors(records(spark, sf_dir)).where("status != 'success'").groupBy("method", bucket(F.col("error")).alias("bucket")).agg(F.count("*").alias("cases"))
 
 
-@query("a11_length_differences", f"WITH {_RECORDS_SQL}, e AS (SELECT {_ERROR_SQL} AS error FROM r) SELECT printf('%+d', regexp_extract(error, 'length (\\d+) does', 1)::INT - regexp_extract(error, 'match (\\d+)', 1)::INT) AS difference, count(*) AS cases FROM e WHERE contains(error, 'does not match') GROUP BY 1")
+@query("a11_length_differences", f"WITH {_RECORDS_SQL}, e AS (SELECT {_ERROR_SQL} AS error FROM r) SELECT printf('%+d', regexp_extract(error, '{LENGTHS}', 1)::INT - regexp_extract(error, '{LENGTHS}', 2)::INT) AS difference, count(*) AS cases FROM e WHERE regexp_matches(error, '{LENGTHS}') GROUP BY 1")
 def a11(spark, sf_dir):
     """Histogram of signed differences between actual and expected lengths."""
-    d = F.regexp_extract("error", r"length (\d+) does", 1).cast("int") - F.regexp_extract("error", r"match (\d+)", 1).cast("int")
-    return errors(records(spark, sf_dir)).where(F.col("error").contains("does not match")).groupBy(F.format_string("%+d", d).alias("difference")).agg(F.count("*").alias("cases"))
+    rows = errors(records(spark, sf_dir)).where(F.regexp_like("error", F.lit(LENGTHS)))
+    return rows.groupBy(length_difference(F.col("error")).alias("difference")).agg(F.count("*").alias("cases"))
+
+
+def error_prefix(error: Column) -> Column:
+    """The first 160 characters of a message's first line."""
+    return F.left(F.split(error, "\n", 2)[0], F.lit(160))
 
 
-@query("a13_error_prefixes", f"WITH {_RECORDS_SQL}, e AS (SELECT left({_ERROR_SQL}, 12) AS prefix, count(*) AS cases FROM r GROUP BY 1) SELECT prefix, cases, row_number() OVER (ORDER BY cases DESC, prefix)::INT AS rank FROM e QUALIFY rank <= 12")
+@query("a13_error_prefixes", f"WITH {_RECORDS_SQL}, e AS (SELECT left(split_part({_ERROR_SQL}, chr(10), 1), 160) AS prefix, count(*) AS cases FROM r WHERE status <> 'success' GROUP BY 1) SELECT prefix, cases, row_number() OVER (ORDER BY cases DESC, prefix)::INT AS rank FROM e QUALIFY rank <= 12")
 def a13(spark, sf_dir):
-    """The twelve most frequent error prefixes."""
-    top = errors(records(spark, sf_dir)).groupBy(F.left("error", F.lit(12)).alias("prefix")).agg(F.count("*").alias("cases")).orderBy(F.desc("cases"), "prefix").limit(12)
+    """The twelve most frequent first lines of failures, cut at 160 characters."""
+    failed = errors(records(spark, sf_dir)).where("status != 'success'")
+    top = failed.groupBy(error_prefix(F.col("error")).alias("prefix")).agg(F.count("*").alias("cases")).orderBy(F.desc("cases"), "prefix").limit(12)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cases"), "prefix")))
 
 
+@query("a13_missing_artifacts", f"WITH {_RECORDS_SQL} SELECT method, count(*) AS cases, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status = 'missing_series') AS missing, string_agg(case_id::VARCHAR, ',' ORDER BY case_id) FILTER (status = 'missing_series') AS missing_cases FROM r GROUP BY method")
+def a13_missing(spark, sf_dir):
+    """Status counters and the missing cases of each method."""
+    missing = F.col("status") == "missing_series"
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(missing, F.col("case_id")))), lambda x: x.cast("string")), ",")
+    return records(spark, sf_dir).groupBy("method").agg(F.count("*").alias("cases"), F.count_if(F.col("status") == "success").alias("successful"), F.count_if(missing).alias("missing"), F.nullif(listed, F.lit("")).alias("missing_cases"))
+
+
 def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """Rows of ``new``, and those of ``old`` whose keys it lacks."""
     return old.join(new, list(keys), "left_anti").unionByName(new)
@@ -154,7 +187,8 @@ def e11(spark, sf_dir):
 
 def iou(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Overlap of inclusive windows by the length of their hull."""
-    return F.greatest(F.lit(0), F.least(b, d) - F.greatest(a, c) + 1) / (F.greatest(b, d) - F.least(a, c) + 1)
+    overlap = F.greatest(F.lit(0), F.least(b, d) - F.greatest(a, c) + 1) / (F.greatest(b, d) - F.least(a, c) + 1)
+    return F.when(a.isNull() | b.isNull() | c.isNull() | d.isNull(), 0.0).otherwise(overlap)
 
 
 @query("e03_best_step", f"""WITH {_RECORDS_SQL}, s(step, a, b) AS (VALUES (0, 0, 10), (1, 5, 20), (2, 15, 30)), f AS (SELECT case_id, case_id % 20 AS c, case_id % 20 + 8 AS d FROM r WHERE j = 0),
@@ -182,27 +216,6 @@ def e05(spark, sf_dir):
     return rows.select("case_id", rounded(F.when(total == 0, 1.0).otherwise(2.0 * both / total)).alias("f1"))
 
 
-def failure_labels(error: Column, f1: Column, overlap: Column, csr: Column) -> Column:
-    """Labels of a failed case, in report order."""
-    b = bucket(error)
-    found = {x: b == x for x in ("parse_failure", "length_mismatch", "unsafe_code", "execution_failed")} | {"wrong_primitive": f1 < 0.999, "wrong_window": overlap < 0.999, "semantic_constraint_failed": csr < 0.999}
-    return F.filter(F.array(*[F.when(F.coalesce(found[x], F.lit(False)), F.lit(x)) for x in LABELS if x in found]), lambda x: x.isNotNull())
-
-
-@query("t02_taxonomy", f"""WITH {_RECORDS_SQL}, f AS (SELECT method, {_ERROR_SQL} AS error, score, case_id FROM r WHERE coalesce(score, 0) < 0.9),
-l AS (SELECT method, unnest(list_filter([CASE WHEN {_BUCKET_SQL} <> 'other' THEN {_BUCKET_SQL} END, CASE WHEN case_id % 2 = 0 THEN 'wrong_primitive' END, CASE WHEN score < 0.999 THEN 'semantic_constraint_failed' END, CASE WHEN {_BUCKET_SQL} = 'other' AND case_id % 2 = 1 AND score IS NULL THEN 'uncategorized' END], lambda x: x IS NOT NULL)) AS label FROM f)
-SELECT l.method, label, count(*) AS cases, {rounded_sql('count(*) / any_value(t.n)::DOUBLE')} AS rate FROM l JOIN (SELECT method, count(*) AS n FROM r GROUP BY method) t ON t.method = l.method GROUP BY l.method, label""")
-def t02(spark, sf_dir):
-    """Labels of failed cases, counted, with rates over all cases."""
-    rows = errors(records(spark, sf_dir))
-    totals = rows.groupBy("method").agg(F.count("*").alias("n"))
-    failed = rows.where("coalesce(score, 0) < 0.9")
-    labels = failure_labels(F.col("error"), F.when(F.col("case_id") % 2 == 0, 0.5).otherwise(1.0), F.lit(1.0), F.col("score"))
-    each = failed.select("method", F.explode(F.when(F.size(labels) == 0, F.array(F.lit("uncategorized"))).otherwise(labels)).alias("label"))
-    counts = each.groupBy("method", "label").agg(F.count("*").alias("cases"))
-    return counts.join(totals, "method").select("method", "label", "cases", rounded(F.col("cases") / F.col("n")).alias("rate"))
-
-
 @query("g06_stratified_sample", f"WITH {_RECORDS_SQL}, z AS (SELECT dataset, length, case_id, row_number() OVER (PARTITION BY dataset, length ORDER BY md5(case_id::VARCHAR), case_id) AS k FROM r WHERE j = 0 AND case_id % 10 <> 0) SELECT dataset, length, case_id FROM z WHERE k <= 3")
 def g06(spark, sf_dir):
     """Three cases of each stratum, outside a main split (an anti join), in a seeded order."""

@@ -43,7 +43,10 @@ def test_noise_is_deterministic(spark):
 CAPTIONS = [
     ([0.0] * 50 + [4 * i / 49 for i in range(50)], "An upward trend; after timestep 50 a shift follows.", lambda r: r["consistency_score"] >= 0.8),
     ([5 * i / 99 for i in range(100)], "A clear downward trend.", lambda r: r["verdict"] == "inconsistent" and r["consistency_score"] <= 0.35),
-    pytest.param([10 - (i / 25 - 2) ** 2 for i in range(101)], "The peak at timestep 50 has value 10.0.", lambda r: any(c["name"] == "peak_alignment" and c["score"] >= 0.95 for c in r["claims"]), marks=pytest.mark.xfail(reason="open: this peak sentence does not score as expected yet")),
+    ([10 - (i / 25 - 2) ** 2 for i in range(101)], "A peak is observed at timestep 50 with value 10.0.", lambda r: any(c["name"] == "peak_alignment" and c["score"] >= 0.95 for c in r["claims"])),
+    ([10 - (i / 25 - 2) ** 2 for i in range(101)], "A peak is observed at timestep 50.", lambda r: any(c["name"] == "peak_alignment" and c["score"] >= 0.95 for c in r["claims"])),
+    ([3.0] * 40 + [3.001] * 5 + [3.0] * 55, "Very low volatility with a flat profile.", lambda r: r["verdict"] == "consistent" and all(c["score"] >= 0.9 for c in r["claims"])),
+    ([i / 15 for i in range(16)], "An upward trend, and a value 10.0 at timestep 8.", lambda r: r["correctness_score"] < r["consistency_score"] and r["contradicted_rate"] > 0),
     ([16.672, 17.938, 18.501, 19.416, 18, 17, 16, 15.476], "It has a peak of 19.416 at the 4.0 data point, then a decline to 15.476 by the 8.0 data points.", lambda r: {c["name"] for c in r["claims"] if c["score"] >= 0.95} >= {"point_value_3", "point_value_7"}),
     ([0.0, 1, 2, 4, 5, 4.5, 4.2, 4.1], "It stays between 4.0 and 5.0 from the 4.0 to 6.0 data points.", lambda r: any(c["name"] == "range_bounds_3_5" and c["score"] >= 0.95 for c in r["claims"])),
 ]
