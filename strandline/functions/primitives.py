@@ -29,6 +29,23 @@ def from_map(params: Column) -> Getter:
     return lambda k: F.when(F.lower(at(k)) == "true", F.lit(1.0)).otherwise(at(k).try_cast("double"))
 
 
+#: Numeric parameters of primitives and checkers.
+KEYS = (
+    "slope start_value end_value start_offset end_offset start_timestep end_timestep anchor_timestep timestep target_value growth_rate decay_rate level_change slope_change smooth amplitude width spread half_width "
+    "relative_change delta phase baseline period noise_scale random_seed volatility_scale shift fill_value tolerance"
+).split()
+
+
+def typed(params: Column) -> Column:
+    """The numeric parameters of a map as one struct, to bind once with ``let`` and read with ``from_struct``."""
+    g = from_map(params)
+    return F.struct(*[g(k).alias(k) for k in KEYS])
+
+
+def from_struct(params: Column) -> Getter:
+    return lambda k: params[k] if k in KEYS else F.lit(None).cast("double")
+
+
 def _int(x: Column) -> Column:
     return x.cast("int")
 
@@ -274,10 +291,8 @@ def value_error(name: Column, s: Column, g: Getter, waveform: Column) -> Column:
     )
 
 
-def apply_step(name: Column, s: Column, params: Column, normals: Column) -> Column:
+def apply_step(name: Column, s: Column, g: Getter, waveform: Column, normals: Column) -> Column:
     """The series after a step, dispatched by the primitive's name."""
-    g = from_map(params)
-    waveform = F.coalesce(F.try_element_at(params, F.lit("waveform")), F.lit("sine"))
     out = F.when(F.lit(False), s)
     for n, f in BUILDERS.items():
         extra = (normals,) if n == "add_noise" else (waveform,) if n == "add_seasonality" else ()

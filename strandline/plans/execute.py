@@ -69,10 +69,15 @@ def fold(steps: Column, length: Column, normals: Column | None = None, *, guarde
     indexed = F.transform(steps, lambda s, i: F.struct(s.alias("step"), F.get(noise, i).alias("normals")))
 
     def one(state: Column, x: Column) -> Column:
+        # parameters and window are bound once: the primitives name them many times
+        bound = F.struct(P.typed(x["step"]["parameters"]).alias("q"), L.affected(x["step"], length).alias("at"), F.coalesce(L.param(x["step"], "waveform"), F.lit("sine")).alias("waveform"))
+        return F.when(state["error"].isNotNull(), state).otherwise(let(bound, lambda b: applied(state, x, b)))
+
+    def applied(state: Column, x: Column, b: Column) -> Column:
         s, values = x["step"], state["values"]
-        g, at = P.from_map(s["parameters"]), L.affected(s, length)
+        g, at, waveform = P.from_struct(b["q"]), b["at"], b["waveform"]
         inside = lambda i: (i >= at["start"]) & (i <= at["end"])
-        refused = F.coalesce(F.when(argument_error(s["primitive"], s["parameters"]).isNotNull(), "invalid_primitive_args"), F.when(P.value_error(s["primitive"], values, g, F.coalesce(L.param(s, "waveform"), F.lit("sine"))).isNotNull(), "execution_failed"))
+        refused = F.coalesce(F.when(argument_error(s["primitive"], s["parameters"]).isNotNull(), "invalid_primitive_args"), F.when(P.value_error(s["primitive"], values, g, waveform).isNotNull(), "execution_failed"))
         if guarded:
             bare = F.exists(F.transform(values, lambda v, i: inside(i) & ~F.get(state["touched"], i) & ~F.coalesce(F.abs(v) <= 1e-12, F.lit(False))), lambda b: b)
             refused = F.coalesce(F.when((s["effect_type"] == "additive") & bare, "additive_without_baseline"), refused)
@@ -90,8 +95,8 @@ def fold(steps: Column, length: Column, normals: Column | None = None, *, guarde
             trace = F.array_append(state["trace"], F.struct(s["id"].alias("id"), v.alias("values"))) if traced else state["trace"]
             return F.struct(v.alias("values"), touched.alias("touched"), gaps.alias("gaps"), held.alias("constraints"), trace.alias("trace"), error.alias("error"))
 
-        done = let(P.apply_step(s["primitive"], values, s["parameters"], x["normals"]), after)
-        return F.when(state["error"].isNotNull(), state).when(refused.isNotNull(), state.withField("error", refused)).otherwise(done)
+        done = let(P.apply_step(s["primitive"], values, g, waveform, x["normals"]), after)
+        return let(refused, lambda r: F.when(r.isNotNull(), state.withField("error", r)).otherwise(done))
 
     return F.aggregate(indexed, zero, one, lambda st: F.struct(F.when(st["error"].isNull(), st["values"]).alias("values"), st["error"].alias("error"), st["trace"].alias("trace")))
 

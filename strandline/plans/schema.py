@@ -105,13 +105,17 @@ def _of_kind(value: Column, kind: Column, rule: dict, path: Column) -> Column:
             extra = F.array_except(keys, F.array(*map(F.lit, rule["properties"])))
             parts.append(F.transform(F.array_sort(extra), lambda k: F.concat(path, F.lit(": does not know "), k)))
         for k, r in rule["properties"].items():
-            # bound once: a value spelled out in each rule below it would double with each level
-            below = lambda v, k=k, r=r: F.when(v.isNotNull(), violations(v, r, F.concat(path, F.lit(f"/{k}")))).otherwise(none)
-            parts.append(let(F.try_variant_get(value, f"$.{k}", "variant"), below))
+            parts.append(_below(value, k, r, path))
     wrong = one(~kind.isin(*rule["type"]), f"must be {' or '.join(rule['type'])}")
     return F.when(kind.isin(*rule["type"]), F.concat(none, *[F.coalesce(p, none) for p in parts])).otherwise(F.coalesce(wrong, none))
 
 
+def _below(value: Column, key: str, rule: dict, path: Column) -> Column:
+    """Violations of a property; its value is bound once, or it would double with each level of rules."""
+    none = F.array().cast("array<string>")
+    return let(F.try_variant_get(value, f"$.{key}", "variant"), lambda v: F.when(v.isNotNull(), violations(v, rule, F.concat(path, F.lit(f"/{key}")))).otherwise(none))
+
+
 def validate(kind: str, text: Column) -> Column:
     """``struct<status, errors>`` of a payload's text; what is no JSON is invalid."""
     value = F.try_parse_json(text)
