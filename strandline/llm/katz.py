@@ -40,8 +40,10 @@ from . import common, words
 from .packing import by_bucket, pack, record, split_by, unpack
 
 END = np.uint64(0x0123456789ABCDEF)
-_CHUNK = 8 << 20
+_CHUNK = 4 << 20
 _BINS = 16
+#: Packed bytes of asked keys by bytes of text.
+_GROWTH = 0.7
 _TABLE = "bucket long, keys binary, counts binary"
 
 
@@ -165,7 +167,7 @@ def _table(rows: DataFrame, key, bucket_of, buckets: int, kind: type) -> DataFra
         keys, counts = _merge(rows, kind)
         return record(bucket=([rows[0]["bucket"]], pa.int64()), keys=([pack(keys)], pa.binary()), counts=([pack(counts)], pa.binary()))
 
-    dealt = rows.mapInArrow(count, _TABLE).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = common.by_key(rows.mapInArrow(count, _TABLE), buckets, "bucket")
     return common.cut(dealt.mapInArrow(by_bucket(merge), _TABLE))
 
 
@@ -243,7 +245,8 @@ def _contexts(pairs: DataFrame, model: Model, k: int, sc) -> None:
 def train(docs: DataFrame, training, *, vocabulary: int = 65_000, k: int = 5, text: str = "text") -> tuple[Model, DataFrame, DataFrame, int]:
     """The model, its word table and pair table, and their number of buckets."""
     sc = docs.sparkSession.sparkContext
-    buckets = common.parts_for(docs.select(text), 2)
+    common.bounded_batches(docs)
+    buckets = common.buckets_for(docs, _GROWTH * common.text_bytes(docs, text), 4 << 20)
     rows = _training_rows(docs, text, training)
     unigrams = _table(rows, lambda hashed, first: hashed, _word_bucket, buckets, np.uint64)
     model = _unigrams(unigrams, min(vocabulary, 65_533), k)
@@ -338,6 +341,7 @@ def _add(rows: list[dict]) -> pa.RecordBatch:
 
 def score(docs: DataFrame, model: Model, unigrams: DataFrame, pairs: DataFrame, buckets: int, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows ``id, n_tokens, n_known, base_score, score`` for every row of ``docs``."""
+    common.bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     asked = rows.mapInArrow(_ask(shared, buckets), _ASK)
@@ -345,8 +349,8 @@ def score(docs: DataFrame, model: Model, unigrams: DataFrame, pairs: DataFrame,
         asked = asked.unionByName(table.select((F.col("bucket") * 2 + kind).alias("bucket"), F.lit(kind).alias("kind"), F.lit(-1).cast("long").alias("chunk"), "keys", F.col("counts").alias("texts")))
     # chunks' own rows all have bucket -1: they are dealt out by chunk
     at = F.when(F.col("bucket") < 0, -1 - F.col("chunk")).otherwise(F.col("bucket"))
-    sums = asked.withColumn("at", at).repartition(2 * buckets, "at").sortWithinPartitions("at", "bucket", "chunk").drop("at").mapInArrow(_answer(shared), "chunk long, bucket long, score binary, more binary")
-    added = sums.repartition(buckets, "chunk").sortWithinPartitions("chunk", "bucket")
+    sums = common.by_key(asked.withColumn("at", at), 2 * buckets, "at", order=("bucket", "chunk")).drop("at").mapInArrow(_answer(shared), "chunk long, bucket long, score binary, more binary")
+    added = common.by_key(sums, buckets, "chunk", order=("bucket",))
     return added.mapInArrow(by_bucket(_add, "chunk"), "id long, n_tokens long, n_known long, base_score double, score double")
 
 
