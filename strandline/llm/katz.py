@@ -246,7 +246,7 @@ def train(docs: DataFrame, training, *, vocabulary: int = 65_000, k: int = 5, te
     """The model, its word table and pair table, and their number of buckets."""
     sc = docs.sparkSession.sparkContext
     common.bounded_batches(docs)
-    buckets = common.buckets_for(docs, _GROWTH * common.text_bytes(docs, text), 4 << 20)
+    buckets = common.buckets_for(docs, _GROWTH * common.text_bytes(docs, text), 16 << 20)
     rows = _training_rows(docs, text, training)
     unigrams = _table(rows, lambda hashed, first: hashed, _word_bucket, buckets, np.uint64)
     model = _unigrams(unigrams, min(vocabulary, 65_533), k)
@@ -257,7 +257,6 @@ def train(docs: DataFrame, training, *, vocabulary: int = 65_000, k: int = 5, te
 
 
 _ASK = "bucket long, kind int, chunk long, keys binary, texts binary"
-_SUMS = "chunk long, kind int, bucket long, ids binary, valid binary, tokens binary, known binary, base binary, score binary"
 
 
 def _ask(shared, buckets: int):
@@ -301,7 +300,7 @@ def _answer(shared):
             for i in range(batch.num_rows):
                 bucket, kind, chunk = (batch.column(n)[i].as_py() for n in ("bucket", "kind", "chunk"))
                 if kind == 2:
-                    out.append((chunk, -1, batch.column("keys")[i].as_py(), b""))
+                    out.append((chunk, -1, b"", batch.column("keys")[i].as_py(), b""))
                     continue
                 if bucket != now:
                     now, keys, counts = bucket, np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -312,14 +311,16 @@ def _answer(shared):
                 asked, own = unpack(batch.column("keys")[i].as_py(), np.uint64), unpack(batch.column("texts")[i].as_py(), np.int32)
                 spot = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
                 got = np.where(keys[spot] == asked, counts[spot], 0) if len(keys) else np.zeros(len(asked), np.int64)
+                texts = np.flatnonzero(np.bincount(own)).astype(np.int32)  # only these are answered
                 if kind == 0:
-                    out.append((chunk, bucket, np.bincount(own, weights=m.pair_logs(asked.astype(np.uint32), got)).tobytes(), b""))
+                    sums = [m.pair_logs(asked.astype(np.uint32), got)]
                 else:
-                    sums = [np.bincount(own, weights=m.within_class(got)), np.bincount(own, weights=m.base_logs(got)), np.bincount(own, weights=(got > 0))]
-                    out.append((chunk, bucket, sums[0].tobytes(), b"".join(s.tobytes() for s in sums[1:])))
+                    sums = [m.within_class(got), m.base_logs(got), got > 0]
+                sums = [np.bincount(own, weights=s)[texts].tobytes() for s in sums]
+                out.append((chunk, bucket, pack(texts), sums[0], b"".join(sums[1:])))
             if out:
-                c, b, s, x = zip(*out)
-                yield record(chunk=(c, pa.int64()), bucket=(b, pa.int64()), score=(s, pa.binary()), more=(x, pa.binary()))
+                c, b, t, s, x = zip(*out)
+                yield record(chunk=(c, pa.int64()), bucket=(b, pa.int64()), texts=(t, pa.binary()), score=(s, pa.binary()), more=(x, pa.binary()))
 
     return run
 
@@ -330,12 +331,12 @@ def _add(rows: list[dict]) -> pa.RecordBatch:
     ids, valid, tokens, known, base = head[0], head[1], head[2], head[3].copy(), head[4].view(np.float64).copy()
     score = np.zeros(len(ids))
     for r in rows[1:]:
-        part = np.frombuffer(r["score"], np.float64)
-        score[: len(part)] += part
+        texts = unpack(r["texts"], np.int32)
+        score[texts] += np.frombuffer(r["score"], np.float64)
         if r["more"]:
             more = np.frombuffer(r["more"], np.float64).reshape(2, -1)
-            base[: more.shape[1]] += more[0]
-            known[: more.shape[1]] += more[1].astype(np.int64)
+            base[texts] += more[0]
+            known[texts] += more[1].astype(np.int64)
     return record(id=([x if v else None for x, v in zip(ids.tolist(), valid.tolist())], pa.int64()), n_tokens=(tokens, pa.int64()), n_known=(known, pa.int64()), base_score=(base, pa.float64()), score=(score, pa.float64()))
 
 
@@ -349,7 +350,7 @@ def score(docs: DataFrame, model: Model, unigrams: DataFrame, pairs: DataFrame,
         asked = asked.unionByName(table.select((F.col("bucket") * 2 + kind).alias("bucket"), F.lit(kind).alias("kind"), F.lit(-1).cast("long").alias("chunk"), "keys", F.col("counts").alias("texts")))
     # chunks' own rows all have bucket -1: they are dealt out by chunk
     at = F.when(F.col("bucket") < 0, -1 - F.col("chunk")).otherwise(F.col("bucket"))
-    sums = common.by_key(asked.withColumn("at", at), 2 * buckets, "at", order=("bucket", "chunk")).drop("at").mapInArrow(_answer(shared), "chunk long, bucket long, score binary, more binary")
+    sums = common.by_key(asked.withColumn("at", at), 2 * buckets, "at", order=("bucket", "chunk")).drop("at").mapInArrow(_answer(shared), "chunk long, bucket long, texts binary, score binary, more binary")
     added = common.by_key(sums, buckets, "chunk", order=("bucket",))
     return added.mapInArrow(by_bucket(_add, "chunk"), "id long, n_tokens long, n_known long, base_score double, score double")
 
