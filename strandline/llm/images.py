@@ -86,12 +86,13 @@ def describe(pixels: np.ndarray, scales: tuple[float, ...] = SCALES) -> tuple[np
         r, c = np.nonzero((inner == top) & (inner > 1.0))
         r, c = r + edge, c + edge
         patch = x[r[:, None] + _DISC[:, 1], c[:, None] + _DISC[:, 0]]
-        angle = np.arctan2(patch @ _DISC[:, 1], patch @ _DISC[:, 0])
-        turn = np.stack([np.cos(angle), -np.sin(angle), np.sin(angle), np.cos(angle)], -1).reshape(-1, 2, 2)
+        # sums and products in place of matrix products: those would start threads of their own in each worker
+        angle = np.arctan2((patch * _DISC[:, 1]).sum(axis=1), (patch * _DISC[:, 0]).sum(axis=1))
+        cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
         side = []
         for points in (_A, _B):
-            at = np.rint(np.einsum("nij,kj->nki", turn, points)).astype(int)
-            side.append(x[np.clip(r[:, None] + at[..., 1], 0, x.shape[0] - 1), np.clip(c[:, None] + at[..., 0], 0, x.shape[1] - 1)])
+            right, down = (np.rint(v).astype(int) for v in (cos * points[:, 0] - sin * points[:, 1], sin * points[:, 0] + cos * points[:, 1]))
+            side.append(x[np.clip(r[:, None] + down, 0, x.shape[0] - 1), np.clip(c[:, None] + right, 0, x.shape[1] - 1)])
         found.append(np.stack([c / scale, r / scale, angle, np.full(len(r), 1 / scale)], -1))
         bits.append(np.packbits(side[0] < side[1], axis=1))
     return (np.concatenate(found), np.concatenate(bits)) if found else (np.zeros((0, 4)), np.zeros((0, 32), np.uint8))
@@ -100,6 +101,8 @@ def describe(pixels: np.ndarray, scales: tuple[float, ...] = SCALES) -> tuple[np
 _PLACE = pa.schema([("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("size", pa.float32())])
 _WORDS = [f"b{i}" for i in range(4)]
 _PAIRS = 1 << 20
+#: Images that a task describes.
+_IMAGES = 500
 _SALTS = 32
 
 
@@ -217,6 +220,7 @@ def search(queries: DataFrame, index: DataFrame, *, most_bits: int = 56, votes:
 
     Both frames are distinct images, ``class, image``.
     """
+    common.bounded_batches(index)
     asked = common.cut(_descriptors(queries))
     if 8 * asked.count() <= most_cuts:
         found = _found_here(asked.toArrow(), index, most_bits, cell)
@@ -276,7 +280,10 @@ def op7_image_copies(spark, sf_dir: str) -> DataFrame:
     asked = common.cut(by_content(drawn(rows.where(F.col("vec_id") % 50 == 0), edit=True)))
     classes = index.groupBy("class").agg(F.min("id").alias("class_id"))
     # pixels are drawn again for one image of each class; stored, they would be many times the vectors
-    pictures = by_content(drawn(rows.join(classes, F.col("vec_id") == F.col("class_id"), "left_semi"))).select("class", "image")
+    chosen = rows.join(classes, F.col("vec_id") == F.col("class_id"), "left_semi")
+    # by number: describing an image takes milliseconds, its vector has few bytes
+    tasks = common.buckets_for(rows, index.count(), _IMAGES)
+    pictures = by_content(drawn(chosen.repartition(min(tasks, common.MOST_TASKS), "vec_id"))).select("class", "image")
     found = search(asked.groupBy("class").agg(F.first("image").alias("image")), pictures)
     named = found.join(classes, "class").groupBy("query").agg(F.array_sort(F.collect_list("class_id")).alias("matches"), F.max("votes").alias("votes"))
     answers = asked.select(F.col("id").alias("vec_id"), F.col("class").alias("query")).join(named, "query", "left").drop("query")
