@@ -149,8 +149,11 @@ def _votes(query: np.ndarray, at: np.ndarray, to: np.ndarray, cell: float) -> tu
     return asked, np.maximum.reduceat(votes, first), _counts(number, at[:, 0], at[:, 1], cell)
 
 
-def _found_here(asked: pa.Table, images: DataFrame, most_bits: int, cell: float) -> DataFrame:
-    """Rows ``q_class, class, votes, places``, counted where the images are, so that no match travels."""
+def _found_here(asked: pa.Table, images: DataFrame, most_bits: int, cell: float, votes: int) -> DataFrame:
+    """Rows ``q_class, class, votes, places``, counted where the images are, so that no match travels.
+
+    Queries with fewer than ``votes`` matches in an image cannot get so many votes and are left out.
+    """
     cuts = np.array(asked.column("cuts").to_pylist(), np.int32).reshape(-1, 8)
     order = np.argsort(cuts, axis=0, kind="stable")
     own = (np.take_along_axis(cuts, order, 0), order, np.stack([asked.column(b).to_numpy() for b in _WORDS], -1).view(np.uint64), *_numbered(asked))
@@ -173,7 +176,11 @@ def _found_here(asked: pa.Table, images: DataFrame, most_bits: int, cell: float)
                         ok = np.bitwise_count(words[q] ^ mine[k]).sum(axis=1, dtype=np.int64) <= most_bits
                         hits.append(np.stack([q[ok], k[ok]], -1))
                         start = end
-                q, k = np.unique(np.concatenate(hits), axis=0).T
+                pairs = np.concatenate(hits)
+                key = np.unique(pairs[:, 0] * len(bits) + pairs[:, 1])
+                q, k = key // len(bits), key % len(bits)
+                enough = np.bincount(owner[q], minlength=len(classes))[owner[q]] >= votes
+                q, k = q[enough], k[enough]
                 if len(q):
                     own, most, many = _votes(owner[q], spots[q], places[k].astype(np.float64), cell)
                     yield record(q_class=([classes[i] for i in own], pa.binary()), **{"class": ([name] * len(own), pa.binary())}, votes=(most, pa.int64()), places=(many, pa.int64()))
@@ -223,7 +230,7 @@ def search(queries: DataFrame, index: DataFrame, *, most_bits: int = 56, votes:
     common.bounded_batches(index)
     asked = common.cut(_descriptors(queries))
     if 8 * asked.count() <= most_cuts:
-        found = _found_here(asked.toArrow(), index, most_bits, cell)
+        found = _found_here(asked.toArrow(), index, most_bits, cell, votes)
     else:
         found = _voted(common.cut(_near_joined(asked, _descriptors(index), most_bits)), cell)
     # look-alike corners scatter over the cells; with hundreds of them some cell gets a few votes by chance
