@@ -128,10 +128,17 @@ def _descriptors(images: DataFrame) -> DataFrame:
     return images.select("class", "image").mapInArrow(run, "class binary, k int, x float, y float, angle float, size float, b0 long, b1 long, b2 long, b3 long, cuts array<int>")
 
 
+def _packed(group: np.ndarray, *parts: tuple[np.ndarray, int]) -> np.ndarray:
+    """One number for each row of a group and signed parts of so many bits."""
+    out = group.astype(np.int64)
+    for values, bits in parts:
+        out = (out << bits) | (values.astype(np.int64) & ((1 << bits) - 1))
+    return out
+
+
 def _counts(group: np.ndarray, x: np.ndarray, y: np.ndarray, cell: float) -> np.ndarray:
     """Different places, cells of (x, y), by group."""
-    rows = np.unique(np.stack([group, np.floor(x / cell).astype(np.int64), np.floor(y / cell).astype(np.int64)], -1), axis=0)
-    return np.bincount(rows[:, 0])
+    return np.bincount(np.unique(_packed(group, (np.floor(x / cell), 16), (np.floor(y / cell), 16))) >> 32)
 
 
 def _votes(query: np.ndarray, at: np.ndarray, to: np.ndarray, cell: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,19 +147,18 @@ def _votes(query: np.ndarray, at: np.ndarray, to: np.ndarray, cell: float) -> tu
     dx = to[:, 0] - grow * (np.cos(turn) * at[:, 0] - np.sin(turn) * at[:, 1])
     dy = to[:, 1] - grow * (np.sin(turn) * at[:, 0] + np.cos(turn) * at[:, 1])
     around, size = np.floor(np.mod(turn + 0.26, 6.283185307) / 0.5236), np.rint(2 * np.log2(grow))
-    spots = np.concatenate([np.stack([query, around, size, np.floor(dx / cell + i), np.floor(dy / cell + j)], -1) for i in (0.0, 0.5) for j in (0.0, 0.5)]).astype(np.int64)
-    cells, owner = np.unique(spots, axis=0, return_inverse=True)
-    owner = owner.ravel()
+    asked, number = np.unique(query, return_inverse=True)
+    spots = np.concatenate([_packed(number, (around, 4), (size, 5), (np.floor(dx / cell + i), 16), (np.floor(dy / cell + j), 16)) for i in (0.0, 0.5) for j in (0.0, 0.5)])
+    cells, owner = np.unique(spots, return_inverse=True)
     votes = np.minimum(*(_counts(owner, np.tile(x[:, 0], 4), np.tile(x[:, 1], 4), cell) for x in (at, to)))
-    asked, first = np.unique(cells[:, 0], return_index=True)
-    _, number = np.unique(query, return_inverse=True)
+    first = np.searchsorted(cells >> 41, np.arange(len(asked)))
     return asked, np.maximum.reduceat(votes, first), _counts(number, at[:, 0], at[:, 1], cell)
 
 
-def _found_here(asked: pa.Table, images: DataFrame, most_bits: int, cell: float, votes: int) -> DataFrame:
+def _found_here(asked: pa.Table, images: DataFrame, most_bits: int, cell: float, votes: int, share: float) -> DataFrame:
     """Rows ``q_class, class, votes, places``, counted where the images are, so that no match travels.
 
-    Queries with fewer than ``votes`` matches in an image cannot get so many votes and are left out.
+    Queries whose matches in an image have fewer than ``votes`` places cannot get so many votes and are left out.
     """
     cuts = np.array(asked.column("cuts").to_pylist(), np.int32).reshape(-1, 8)
     order = np.argsort(cuts, axis=0, kind="stable")
@@ -179,10 +185,15 @@ def _found_here(asked: pa.Table, images: DataFrame, most_bits: int, cell: float,
                 pairs = np.concatenate(hits)
                 key = np.unique(pairs[:, 0] * len(bits) + pairs[:, 1])
                 q, k = key // len(bits), key % len(bits)
-                enough = np.bincount(owner[q], minlength=len(classes))[owner[q]] >= votes
-                q, k = q[enough], k[enough]
+                for here in (False, True):
+                    if len(q):
+                        x = places[k] if here else spots[q]
+                        enough = _counts(owner[q], x[:, 0], x[:, 1], cell)[owner[q]] >= votes
+                        q, k = q[enough], k[enough]
                 if len(q):
                     own, most, many = _votes(owner[q], spots[q], places[k].astype(np.float64), cell)
+                    good = (most >= votes) & (most >= share * many)
+                    own, most, many = own[good], most[good], many[good]
                     yield record(q_class=([classes[i] for i in own], pa.binary()), **{"class": ([name] * len(own), pa.binary())}, votes=(most, pa.int64()), places=(many, pa.int64()))
 
     return images.select("class", "image").mapInArrow(run, "q_class binary, class binary, votes long, places long")
@@ -230,7 +241,7 @@ def search(queries: DataFrame, index: DataFrame, *, most_bits: int = 56, votes:
     common.bounded_batches(index)
     asked = common.cut(_descriptors(queries))
     if 8 * asked.count() <= most_cuts:
-        found = _found_here(asked.toArrow(), index, most_bits, cell, votes)
+        found = _found_here(asked.toArrow(), index, most_bits, cell, votes, share)
     else:
         found = _voted(common.cut(_near_joined(asked, _descriptors(index), most_bits)), cell)
     # look-alike corners scatter over the cells; with hundreds of them some cell gets a few votes by chance
