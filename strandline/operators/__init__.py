@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("series_queries", "claims", "checkers", "metrics", "retrieval", "reports", "plan_queries", "scoring")
+MODULES = ("series_queries", "claims", "checkers", "metrics", "retrieval", "reports", "plan_queries", "scoring", "baselines", "realcaption")
 
 
 def load() -> None:
