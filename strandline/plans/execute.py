@@ -28,7 +28,7 @@ def _normals(seeds, lengths):
     import pandas as pd
 
     draw = lambda s, n: [] if s is None or np.isnan(s) else np.random.default_rng(int(s)).normal(0.0, 1.0, int(n)).tolist()
-    return pd.Series([[draw(s, n) for s, n in zip(a, b)] for a, b in zip(seeds, lengths)])
+    return pd.Series([None if a is None else [draw(s, n) for s, n in zip(a, b)] for a, b in zip(seeds, lengths)])
 
 
 def noise_of(steps: Column, length: Column) -> Column:
