@@ -32,6 +32,8 @@ from .packing import record
 
 UNKNOWN = "und"
 _GRAMS = (5, 4, 3, 2, 1)
+#: Bytes of text that a worker looks at together.
+_PART = 2 << 20
 _PAD = 95  # "_", which is no letter
 
 
@@ -159,7 +161,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for batch in batches for p in words.chunks(batch)):
+        for part in (p for batch in batches for p in words.chunks(batch, limit=_PART)):
             found, score = shared.value.predict(part.column("text"))
             yield record(id=(part.column("id"), pa.int64()), lang_pred=(found, pa.string()), score=(score, pa.float64()))
 
@@ -171,7 +173,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, *, text:
     shared, shape = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for batch in batches for p in words.chunks(batch, text)):
+        for part in (p for batch in batches for p in words.chunks(batch, text, _PART)):
             found, score = shared.value.predict(part.column(text))
             yield part.filter(pa.array([lang != UNKNOWN and x >= least for lang, x in zip(found, score.tolist())], pa.bool_()))
 

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from .words import release
+
 _CODEC = pa.Codec("zstd", compression_level=3)
 
 
@@ -50,6 +52,7 @@ def by_bucket(work: Callable[[list[dict]], pa.RecordBatch | None], key: str = "b
                     if (out := work(rows)) is not None:
                         yield out
                     rows = []
+                    release()
                 rows.append(row)
         if rows and (out := work(rows)) is not None:
             yield out

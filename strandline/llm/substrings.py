@@ -151,7 +151,7 @@ def _repeats(strings: list[bytes], doc: np.ndarray, tie: np.ndarray, start: np.n
 
 
 #: Bytes of super-k-mers that a task sorts at once.
-_PART = 12 << 20
+_PART = 8 << 20
 
 
 def _ranges(d: np.ndarray, t: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
@@ -172,6 +172,7 @@ def _sort_buckets(window: int):
             strings = [strings[i] for i in np.flatnonzero(live).tolist()]
             held, size = [(strings, doc[live], tie[live], start[live])], sum(map(len, strings))
             limit = max(_PART, 2 * size)  # distinct text of a bucket is what it is; copies are not
+            words.release()
             return _ranges(*found)
 
         for batch in batches:
