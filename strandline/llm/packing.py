@@ -32,6 +32,15 @@ def unpack(data: bytes, dtype: type) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel(), dtype=dtype)
 
 
+def pack_plain(values: np.ndarray) -> bytes:
+    """Numbers in no order, of which many are small or alike."""
+    return zip_bytes(values.view(np.uint8).reshape(len(values), -1).T.tobytes())
+
+
+def unpack_plain(data: bytes, dtype: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unzip_bytes(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
 def split_by(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket with the positions of its values, in order."""
     order = np.argsort(bucket, kind="stable")

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -170,21 +172,66 @@ def test_decontaminate(spark, none):
     assert decontaminate.contaminated(decontaminate.build_index(none), items).count() == 0
 
 
-def test_katz_sums_to_one(spark, docs, none):
-    model, unigrams, pairs, buckets = katz.train(docs, F.lit(True))
-    seen = [(katz.unpack(r["keys"], "u4"), katz.unpack(r["counts"], "i8")) for r in pairs.collect()]
-    known = {(int(k) >> 16, int(k) & 0xFFFF): int(c) for ks, cs in seen for k, c in zip(ks, cs)}
-    import numpy as np
-
-    assert model.prob.sum() == pytest.approx(1)
-    for h in {h for h, _ in known}:
-        keys = np.array([(h << 16) | w for w in range(len(model.prob))], np.uint32)
-        counts = np.array([known.get((h, w), 0) for w in range(len(model.prob))])
-        assert (10 ** model.pair_logs(keys, counts)).sum() == pytest.approx(1)
-    rows = katz.score(docs, model, unigrams, pairs, buckets).collect()
-    assert len(rows) == len(corpus()) and all(r["n_known"] == r["n_tokens"] and r["score"] < 0 for r in rows)
-    empty, *tables = katz.train(none, F.lit(True))
-    assert katz.score(docs, empty, *tables).count() == len(corpus()) and katz.score(none, model, unigrams, pairs, buckets).count() == 0
+class BruteKatz:
+    """The model in plain Python, from token lists."""
+
+    def __init__(self, texts, k=5):
+        self.words, self.pairs = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip([None, *t], t))
+        self.d1, self.d2 = self.discounts(self.words, k), self.discounts(self.pairs, k)
+        self.total, mass = sum(self.words.values()), sum(c * self.d1(c) for c in self.words.values())
+        self.base = self.total if mass < self.total else self.total + 1
+        self.unseen = 1 - mass / self.base
+        self.followers = {}
+        for (h, w), c in self.pairs.items():
+            self.followers.setdefault(h, {})[w] = c
+
+    @staticmethod
+    def discounts(counts, k):
+        n = Counter(counts.values())
+        rest = (k + 1) * n[k + 1] / n[1] if n[1] else 1
+        d = [((r + 1) * n[r + 1] / n[r] / r - rest) / (1 - rest) if n[r] and rest < 1 else 0 for r in range(1, k + 1)]
+        if not all(n[r] for r in range(1, k + 2)) or not all(0 < x < 1 for x in d):
+            d = [(r - 0.5) / r for r in range(1, k + 1)]
+        return lambda c: d[c - 1] if c <= k else 1
+
+    def p(self, w):
+        return self.words[w] * self.d1(self.words[w]) / self.base if w in self.words else self.unseen
+
+    def prob(self, h, w):
+        after = self.followers.get(h)
+        if after is None:
+            return self.p(w)
+        total, kept = sum(after.values()), sum(c * self.d2(c) for c in after.values())
+        held = total if total - kept > 1e-9 * total else total + 1
+        if w in after:
+            return after[w] * self.d2(after[w]) / held
+        return (1 - kept / held) / (1 - sum(self.p(v) for v in after)) * self.p(w)
+
+
+def katz_tokens(text):
+    lower = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    return [*(w for w in re.split(r"[\x20\x09-\x0D]+", lower) if w), "</s>"]
+
+
+@pytest.mark.parametrize("frequent", [0, 7, 65_000])
+def test_katz_against_brute_force(docs, none, frequent):
+    rows = corpus()
+    brute = BruteKatz([katz_tokens(r[1]) for r in rows if r[0] is not None and r[0] % 3 != 1])
+    for h in [*brute.followers, "never seen"]:
+        assert sum(brute.prob(h, w) for w in [*brute.words, "unseen"]) == pytest.approx(1)
+    expected = []
+    for r in rows:
+        t = katz_tokens(r[1])
+        base = sum(math.log10((brute.words[w] + 0.5) / (brute.total + 0.5 * (len(brute.words) + 1))) for w in t)
+        expected.append((str(r[0]), len(t), sum(w in brute.words for w in t), base, sum(math.log10(brute.prob(h, w)) for h, w in zip([None, *t], t))))
+    model, *tables = katz.train(docs, F.col("doc_id") % 3 != 1, frequent=frequent)
+    assert (model.total, model.types) == (brute.total, len(brute.words)) and len(model.hashes) <= frequent
+    got = sorted((str(r["id"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in katz.score(docs, model, *tables).collect())
+    for mine, theirs in zip(got, sorted(expected), strict=True):
+        assert mine[:3] == theirs[:3] and mine[3:] == pytest.approx(theirs[3:])
+    if frequent == 7:
+        empty, *nothing = katz.train(none, F.lit(True), frequent=frequent)
+        assert katz.score(docs, empty, *nothing).count() == len(rows) and katz.score(none, model, *tables).count() == 0
 
 
 def test_images():
