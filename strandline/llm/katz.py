@@ -21,7 +21,8 @@ Tables: pairs (h, w) by bucket. A pair whose w is frequent lies in the bucket of
 no word is one bucket; all pairs of another w lie in w's bucket, where c(w) is the sum of their counts.
 Totals and backoff weights of other contexts lie in h's bucket. Texts are never joined with these: a chunk
 of text sends each bucket its pairs with text numbers and repeats; the bucket answers with one sum for each
-text and hands the pairs of other contexts on to their buckets; the chunk's sums are added up.
+text and hands the pairs of other contexts on to their buckets, those of many chunks in one row; the
+chunk's sums are added up.
 
 Defined cases: null or empty text is its end token alone; without training texts every word is unseen;
 repeated rows are scored each; an empty table gives no rows; other columns are ignored.
@@ -49,6 +50,8 @@ _CHUNK = 4 << 20
 _BINS = 16
 #: Packed bytes of asked pairs by bytes of text.
 _GROWTH = 0.9
+#: Pairs of other contexts, of all chunks, that a task holds back to send or sum together.
+_WAITING = 2_000_000
 _WORDS = "bucket long, keys binary, counts binary"
 _PAIRS = "bucket long, h binary, w binary, counts binary"
 _CONTEXTS = "bucket long, h binary, total binary, left binary, mass binary"
@@ -372,8 +375,15 @@ def _sums(out: list[tuple]) -> pa.RecordBatch:
 def _answer_pairs(shared, buckets: int):
     """A bucket's pairs come first, then what chunks ask. Pairs of other contexts go on to these."""
 
+    def handed_on(bucket: int, turn: int, waiting: list[tuple]) -> list[tuple]:
+        """One row for each bucket of contexts, of all chunks that wait."""
+        h, chunk, own, signed = (np.concatenate(x) for x in zip(*waiting))
+        order = np.argsort(h, kind="stable")
+        h, chunk, own, signed = h[order], chunk[order], own[order], signed[order]
+        return [(b, 1, turn, bucket, pack(h[g]), pack_plain(own[g]), pack_plain(signed[g]), pack_plain(chunk[g])) for b, g in split_by(_word_bucket(h, buckets))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, now = shared.value, None
+        m, now, waiting, many, turn = shared.value, None, [], 0, 0
         empty = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             out = []
@@ -382,8 +392,11 @@ def _answer_pairs(shared, buckets: int):
                 if kind == 2:
                     out.append((-1, 2, chunk, -1, b"", b"", h, b""))
                     continue
+                if waiting and (bucket != now or many > _WAITING):
+                    out += handed_on(now, turn, waiting)
+                    waiting, many, turn = [], 0, turn + 1
                 if bucket != now:
-                    now, pairs, known = bucket, empty, empty
+                    now, pairs, known, turn = bucket, empty, empty, 0
                     words.release()
                 h, w, counts = unpack_plain(h, np.uint64), unpack(w, np.uint64), unpack_plain(counts, np.int64)
                 if kind == 0:
@@ -403,19 +416,31 @@ def _answer_pairs(shared, buckets: int):
                 named, (score, base, hit) = _by_text(own, logs * counts, np.where(rare, m.base_logs(of_word), 0.0) * counts, (rare & (of_word > 0)) * counts)
                 out.append((bucket, 2, chunk, -1, b"", named, score, base + hit if rare.any() else b""))
                 # the sign of the repeats says whether the pair was seen
-                signed = np.where(seen > 0, counts, -counts)[other]
-                order = np.argsort(h[other], kind="stable")
-                h, own, signed = h[other][order], own[other][order], signed[order]
-                out += [(b, 1, chunk, bucket, pack(h[g]), pack_plain(own[g]), pack_plain(signed[g]), b"") for b, g in split_by(_word_bucket(h, buckets))]
+                if other.any():
+                    waiting.append((h[other], np.full(int(other.sum()), chunk), own[other], np.where(seen > 0, counts, -counts)[other]))
+                    many += len(waiting[-1][0])
             if out:
                 yield _sums(out)
+        if waiting:
+            yield _sums(handed_on(now, turn, waiting))
 
     return run
 
 
+def _summed(bucket: int, turn: int, waiting: list[tuple]) -> list[tuple]:
+    """One row for each chunk that waits, with a sum for each of its texts that occur."""
+    chunk, own, logs = (np.concatenate(x) for x in zip(*waiting))
+    order = np.lexsort((own, chunk))
+    chunk, own, logs = chunk[order], own[order], logs[order]
+    head = _heads(chunk, own)
+    chunk, own, logs = chunk[head], own[head], np.add.reduceat(logs, head)
+    at = np.append(_heads(chunk), len(chunk))
+    return [(bucket, 2, int(chunk[i]), turn, b"", pack(own[i:j]), logs[i:j].tobytes(), b"") for i, j in zip(at[:-1], at[1:])]
+
+
 def _answer_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's contexts come first, then what is asked of them; answers to chunks pass through."""
-    now = None
+    now, waiting, many, turn = None, [], 0, 0
     for batch in batches:
         out = []
         for i in range(batch.num_rows):
@@ -424,8 +449,11 @@ def _answer_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             if kind == 2:
                 out.append(row)
                 continue
+            if waiting and (bucket != now or many > _WAITING):
+                out += _summed(now, turn, waiting)
+                waiting, many, turn = [], 0, turn + 1
             if bucket != now:
-                now, table, total, alpha = bucket, np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+                now, table, total, alpha, turn = bucket, np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0
                 words.release()
             h = unpack(h, np.uint64)
             if kind == 0:
@@ -433,10 +461,12 @@ def _answer_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 continue
             own, signed = unpack_plain(texts, np.int32), unpack_plain(score, np.int64)
             logs = np.where(signed > 0, -_log(_found(table, total, h, 1.0)), _log(_found(table, alpha, h, 1.0)))
-            named, (sums,) = _by_text(own, logs * np.abs(signed))
-            out.append((bucket, 2, chunk, source, b"", named, sums, b""))
+            waiting.append((unpack_plain(more, np.int64), own, logs * np.abs(signed)))
+            many += len(own)
         if out:
             yield _sums(out)
+    if waiting:
+        yield _sums(_summed(now, turn, waiting))
 
 
 def _add(rows: list[dict]) -> pa.RecordBatch:

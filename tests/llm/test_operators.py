@@ -229,6 +229,9 @@ def test_katz_against_brute_force(docs, none, frequent):
     got = sorted((str(r["id"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in katz.score(docs, model, *tables).collect())
     for mine, theirs in zip(got, sorted(expected), strict=True):
         assert mine[:3] == theirs[:3] and mine[3:] == pytest.approx(theirs[3:])
+    if frequent == 65_000:  # no other contexts
+        everything = katz.score(docs, *katz.train(docs, F.lit(True))).collect()
+        assert len(everything) == len(rows) and all(r["n_known"] == r["n_tokens"] for r in everything)
     if frequent == 7:
         empty, *nothing = katz.train(none, F.lit(True), frequent=frequent)
         assert katz.score(docs, empty, *nothing).count() == len(rows) and katz.score(none, model, *tables).count() == 0
