@@ -334,3 +334,17 @@ def test_html_of_deep_pages(spark):
     got = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
     assert len(got) == 9 and all(r["text"].startswith("a a a") and r["text"].endswith(f"x {r['id']}") for r in got if r["id"] is not None and r["id"] < 6)
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_held_out_accuracy(spark):
+    """Whole documents that took no part in the fit, through the registered queries."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, folder, "documents"), common.table(spark, folder, "labels")
+    for query, truth, is_right in (
+        (quality.op3_quality_rank, labels.where("quality is not null").select("doc_id", "quality"), F.col("predicted") == F.col("quality")),
+        (langid.op4_language_id, docs.where("lang is not null and regexp_like(text, '[A-Za-z]')").select("doc_id", "lang"), F.col("lang_pred") == F.col("lang")),
+    ):
+        asked = query(spark, folder).where("held_out").join(truth, "doc_id")
+        n, right = asked.agg(F.count("*"), F.avg(is_right.cast("double"))).first()
+        print(query.__name__, n, right)
+        assert n > 100 and right >= 0.95
