@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, html, images, jaccard, katz, langid, mixing, quality, substrings
+from . import chat, decontaminate, html, images, jaccard, katz, langid, mixing, quality, substrings, tokens
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_katz_score": katz.op10_katz_score,
+    "op11_token_shards": tokens.op11_token_shards,
     "pipeline": corpus_pipeline.run,
 }
 
