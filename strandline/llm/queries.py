@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, html, images, jaccard, katz, langid, mixing, quality, runs, substrings, tokens
+from . import chat, decontaminate, html, images, jaccard, katz, langid, mixing, quality, repair, runs, substrings, tokens
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_katz_score": katz.op10_katz_score,
     "op11_token_shards": tokens.op11_token_shards,
+    "op12_conversation_repair": repair.op12_conversation_repair,
     "op13_periodic_runs": runs.op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
@@ -29,4 +30,5 @@ ORACLE_SQL = {
     "op6_source_mix": mixing.OP6_SQL,
     "op8_chat_format": chat.OP8_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
+    "op12_conversation_repair": repair.OP12_SQL,
 }
