@@ -21,7 +21,7 @@ DOCS = "doc_id long, text string, content string, part string, start string, id
 def docs(spark):
     rng = random.Random(8)
     texts = [" ".join(rng.choice(["a", "bb", "Étion", "x,y", "12", "don't", "\n", "<|endoftext|>", "  ", " z", "日本 語"]) for _ in range(rng.randint(0, 80))) for _ in range(90)]
-    texts += [None, "", " ", " \n ", "one", "tail  ", "a b " * 4000, "x" * 20_000, "a\t b　 c  d"]
+    texts += [None, "", " ", " \n ", "one", "tail  ", "a b " * 4000, "x" * 20_000, "well " + "say it " * 7 + "end", "a a a a a a b " + "x y z " * 4 + "x", "a\t b　 c  d"]
     rows = [(i if i % 9 else None, t, "clash", "clash", "clash", "clash") for i, t in enumerate(texts)]
     return spark.createDataFrame([*rows, rows[3], rows[3], (5, "another of the same id", *["clash"] * 4)], DOCS).repartition(3).cache()
 
