@@ -36,6 +36,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, or the name with as many underscores after it as it takes to be no column's."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store; nothing may read it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 BATCH_BYTES = 12 << 20
 
 

@@ -2,15 +2,18 @@
 
 A document's position in its source's order is a hash of its id. Sizes are summed by source and hash
 bucket; the bucket in which the running sum passes the budget is split again by the next bits of the
-hash, until it holds one hash. All documents below that threshold are taken once more than the whole
+hash, until it holds one hash; where rows share that hash, as rows of one id do, a second hash, of their text and
+place, splits them the same way. All documents below that threshold are taken once more than the whole
 number of times that the budget asks of every document. Nothing is sorted and no document moves: a
 filter on the hash decides. What the threshold leaves of the budget goes through the same search among
 the documents that still fit it, until less than ``tolerance`` of the target is left or for ``rounds``
 times (nested budgets).
 
 Defined cases: null or empty text has size 0 and is taken 0 words; a null source is a source of its own,
-the last; rows with equal ids have equal hashes and are taken or left together; a null id hashes as the
-empty string; an empty table gives an empty result; other columns are ignored.
+the last; rows with equal ids, null ids among them, follow each other in the order of their texts' hashes and are
+taken up to the budget like others, so which of several equal rows is taken is not defined, but how many are; a
+null id hashes as the empty string; an empty table gives an empty result; other columns are ignored. The driver
+holds one row for each source.
 """
 
 from __future__ import annotations
@@ -63,8 +66,24 @@ def id_hash(column: str) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def _thresholds(sized: DataFrame, budgets: list[tuple[str | None, float]], bits: int) -> dict[str | None, tuple[int, int]]:
-    """Per source the hash at which the running sum passes the budget, and the sum below it.
+def tie_hash(text: str) -> Column:
+    """60 bits that order rows of one id: a hash of the text, then one of the row's place in the input."""
+    half = HASH_BITS // 2
+    of_text, of_place = F.xxhash64(text), F.xxhash64(F.monotonically_increasing_id())
+    return F.shiftleft(F.shiftrightunsigned(of_text, 64 - half), half) + F.shiftrightunsigned(of_place, 64 - half)
+
+
+#: Rows by source up to which a table is sent to every task, some 10 MB.
+_SMALL = 100_000
+
+
+def _by_source(spark, rows: list[tuple], schema: str) -> DataFrame:
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= _SMALL else table
+
+
+def _thresholds(sized: DataFrame, budgets: list[tuple[str | None, float]], bits: int, column: str = "hash") -> dict[str | None, tuple[int, int, bool]]:
+    """Per source the hash at which the running sum passes the budget, the sum below it, and whether rows share that hash.
 
     A level sums by source and bucket and keeps the one boundary bucket of each source; the next level
     reads only rows of boundary buckets. ``budgets`` has a row for each source, as the result has.
@@ -75,19 +94,19 @@ def _thresholds(sized: DataFrame, budgets: list[tuple[str | None, float]], bits:
     while state and shift > 0:
         step = min(bits, shift)
         shift -= step
-        known = F.broadcast(spark.createDataFrame(state, "__source string, __prefix long, __below long, __budget double"))
-        rows = sized.join(known, F.col("__source").eqNullSafe(F.col("source")) & (F.shiftright("hash", shift + step) == F.col("__prefix")))
-        by_bucket = rows.groupBy("__source", "__below", "__budget", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high"))
+        known = _by_source(spark, state, "__source string, __prefix long, __below long, __budget double")
+        rows = sized.join(known, F.col("__source").eqNullSafe(F.col("source")) & (F.shiftright(column, shift + step) == F.col("__prefix")))
+        by_bucket = rows.groupBy("__source", "__below", "__budget", F.shiftright(column, shift).alias("bucket")).agg(F.sum("size").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"), (F.count("*") > 1).alias("shared"))
         running = F.sum("n").over(Window.partitionBy("__source").orderBy("bucket")) + F.col("__below")
-        passed = by_bucket.withColumn("upto", running).where("upto > __budget").groupBy("__source").agg(F.min(F.struct("bucket", "upto", "n", "low", "high", "__budget")).alias("b"))
+        passed = by_bucket.withColumn("upto", running).where("upto > __budget").groupBy("__source").agg(F.min(F.struct("bucket", "upto", "n", "low", "high", "shared")).alias("b"))
         seen, state = state, []
         got = {r["__source"]: r["b"] for r in passed.collect()}
         for source, _, below, budget in seen:
             b = got.get(source)
             if b is None:
-                found[source] = (1 << HASH_BITS, below)  # never passed: all fit
+                found[source] = (1 << HASH_BITS, below, False)  # never passed: all fit
             elif b["low"] == b["high"]:
-                found[source] = (b["low"], b["upto"] - b["n"])
+                found[source] = (b["low"], b["upto"] - b["n"], b["shared"])
             else:
                 state.append((source, b["bucket"], b["upto"] - b["n"], budget))
     return found
@@ -101,7 +120,7 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1
     """
     spark = docs.sparkSession
     named = docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"), *keep)
-    sized = common.cut(word_counts(named, "id", "source", *keep).withColumn("hash", id_hash("id")))
+    sized = common.cut(word_counts(named.withColumn("tie", tie_hash("text")), "id", "source", "tie", *keep).withColumn("hash", id_hash("id")))
     sizes = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     target = targets(sizes, weights, share, most)
     whole = {s: int(t // n) if (n := sizes[s]) else 0 for s, t in target.items()}
@@ -109,16 +128,23 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1
     rest, cuts = sized.where("size > 0"), []
     for _ in range(rounds):
         got = _thresholds(rest, list(left.items()), bits)
-        cuts.append({s: (got.get(s, (0, 0))[0], int(min(left[s], 1 << 62))) for s in left})
-        left = {s: left[s] - got.get(s, (0, 0))[1] for s in left}
+        shared = [(s, cut) for s, (cut, below, more) in got.items() if more and left[s] - below >= 1]
+        ties = {}
+        if shared:
+            at = _by_source(spark, shared, "__s string, __cut long")
+            tied = rest.join(at, F.col("__s").eqNullSafe(F.col("source")) & (F.col("hash") == F.col("__cut"))).select("source", "size", "tie")
+            ties = _thresholds(tied, [(s, left[s] - got[s][1]) for s, _ in shared], bits, "tie")
+        cuts.append({s: (got.get(s, (0,))[0], ties.get(s, (0,))[0], int(min(left[s], 1 << 62))) for s in left})
+        left = {s: left[s] - got.get(s, (0, 0))[1] - ties.get(s, (0, 0))[1] for s in left}
         left = {s: b if b >= 1 and b > tolerance * target[s] else 0.0 for s, b in left.items()}
         if not any(left.values()):
             break
-        fits = F.broadcast(spark.createDataFrame([(s, cuts[-1][s][0], b) for s, b in left.items()], "__s string, __cut long, __left double"))
-        rest = rest.join(fits, F.col("__s").eqNullSafe(F.col("source"))).where("hash >= __cut and size <= __left").select("id", "source", "size", "hash")
-    plan = spark.createDataFrame([(s, sizes[s], target[s], whole[s], [c[s][0] for c in cuts], [c[s][1] for c in cuts]) for s in target], "__s string, source_size long, target double, __whole int, __cuts array<long>, __fits array<long>")
-    extra = F.exists(F.arrays_zip("__cuts", "__fits"), lambda c: (F.col("hash") < c["__cuts"]) & (F.col("size") <= c["__fits"]))
-    rows = sized.join(F.broadcast(plan) if len(target) <= 100_000 else plan, F.col("__s").eqNullSafe(F.col("source")))
+        fits = _by_source(spark, [(s, *cuts[-1][s][:2], b) for s, b in left.items()], "__s string, __cut long, __tie long, __left double")
+        rest = rest.join(fits, F.col("__s").eqNullSafe(F.col("source"))).where("(hash > __cut or hash = __cut and tie >= __tie) and size <= __left").select("id", "source", "size", "hash", "tie")
+    plan = _by_source(spark, [(s, sizes[s], target[s], whole[s], [c[s] for c in cuts]) for s in target], "__s string, source_size long, target double, __whole int, __cuts array<struct<cut:long,tie:long,fits:long>>")
+    below = lambda c: (F.col("hash") < c["cut"]) | ((F.col("hash") == c["cut"]) & (F.col("tie") < c["tie"]))
+    extra = F.exists("__cuts", lambda c: below(c) & (F.col("size") <= c["fits"]))
+    rows = sized.join(plan, F.col("__s").eqNullSafe(F.col("source")))
     copies = F.col("__whole") + F.when((F.col("size") > 0) & extra, 1).otherwise(0)
     return rows.select("id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep)
 
