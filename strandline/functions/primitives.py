@@ -50,8 +50,15 @@ def _int(x: Column) -> Column:
     return x.cast("int")
 
 
-def last(s: Column) -> Column:
-    return F.size(s) - 1
+class Length:
+    """Stands for a series of which only the length is known, where rules ask for no more."""
+
+    def __init__(self, n: Column):
+        self.n = n
+
+
+def last(s: Column | Length) -> Column:
+    return (s.n if isinstance(s, Length) else F.size(s)) - 1
 
 
 def interval(s: Column, g: Getter, start: str = "start_timestep", end: str = "end_timestep") -> tuple[Column, Column]:
