@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..catalog import query
 from ..functions import primitives as P
 from ..sources.series import POINTS_SQL, points, rounded, rounded_sql, user_series
+from .nearest import nearest
 
 EPSILON = 1e-8
 
@@ -257,20 +258,6 @@ def n06(spark, sf_dir):
     return e.select("user_id", "t", "kind", rounded(F.col("p")).alias("prominence"), rank.alias("rank"))
 
 
-def nearest(asked: DataFrame, series: DataFrame, block: int = 500) -> DataFrame:
-    """For each asked series the nearest other one by RMSE over their common timesteps, with the span of the asked.
-
-    Asked series meet all others in blocks, so that a task holds one block at a time.
-    """
-    blocks = max(1, -(-asked.count() // block))
-    q = asked.select(F.col("user_id").alias("q"), F.col("values").alias("x"), F.pmod(F.xxhash64("user_id"), F.lit(blocks)).alias("block"))
-    rows = series.select("user_id", "values", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    n = F.least(F.size("x"), F.size("values"))
-    off = P.mean(F.zip_with(F.slice("x", 1, n), F.slice("values", 1, n), lambda a, b: (a - b) * (a - b)))
-    d = rows.join(q, "block").where("q != user_id").select("q", "user_id", F.sqrt(off).alias("rmse"), (F.array_max("x") - F.array_min("x")).alias("span"))
-    return d.groupBy("q").agg(F.min_by("user_id", F.struct("rmse", "user_id")).alias("nearest"), F.min("rmse").alias("rmse"), F.first("span").alias("span"))
-
-
 @query(
     "g11_nearest_series",
     f"""WITH {POINTS_SQL}, d AS (SELECT a.user_id AS q, b.user_id AS m, sqrt(avg((a.v - b.v) * (a.v - b.v))) AS rmse FROM p a JOIN p b ON a.t = b.t AND a.user_id <> b.user_id WHERE a.user_id % 50 = 0 GROUP BY a.user_id, b.user_id),
