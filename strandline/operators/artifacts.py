@@ -16,10 +16,12 @@ from ..functions.primitives import let
 from ..plans import execute as X
 from ..plans import plan as L
 from ..plans import repair as W
+from ..sources.blocks import cut, joined
 from ..sources.series import POINTS_SQL, points, rounded, rounded_sql, user_series
 from . import metrics, realcaption
 from . import scoring as S
 from .plan_queries import FLAT, SPIKE, plan, step
+from .quantiles import medians
 from .reports import _RECORDS_SQL, records
 from .retrieval import unsupported
 
@@ -33,15 +35,19 @@ def grouped_cases(cases: DataFrame, order: str, *keys: str) -> DataFrame:
 
 def load_series(cases: DataFrame, reports: DataFrame, files: DataFrame) -> DataFrame:
     """Adds ``series``: from the evaluation report, else from the case's own file (both ``case_id, values``)."""
-    joined = cases.join(reports.select("case_id", F.col("values").alias("__a")), "case_id", "left").join(files.select("case_id", F.col("values").alias("__b")), "case_id", "left")
-    return joined.withColumn("series", F.coalesce("__a", "__b")).drop("__a", "__b")
+    both = cases.join(reports.select("case_id", F.col("values").alias("__a")), "case_id", "left").join(files.select("case_id", F.col("values").alias("__b")), "case_id", "left")
+    return both.withColumn("series", F.coalesce("__a", "__b")).drop("__a", "__b")
 
 
 def method_metrics(pairs: DataFrame, *keys: str) -> DataFrame:
     """Means and medians of error metrics by ``keys``; pairs are points ``keys, case_id, g, r``, g null where it failed."""
-    each = metrics.error_metrics(pairs.where("g is not null"), *keys, "case_id")
-    ok = each.groupBy(*keys).agg(F.count("*").alias("ok"), *[f(c).alias(f"{n}_{c}") for c in METRICS for n, f in (("mean", F.avg), ("median", lambda c: F.percentile(c, F.lit(0.5))))], F.avg("correlation").alias("mean_correlation"))
-    return pairs.groupBy(*keys).agg(F.countDistinct("case_id").alias("cases")).join(ok, list(keys), "left").withColumn("success_rate", F.coalesce(F.col("ok"), F.lit(0)) / F.col("cases"))
+    each = cut(metrics.error_metrics(pairs.where("g is not null"), *keys, "case_id"))
+    ok = each.groupBy(*keys).agg(F.count("*").alias("ok"), *[F.avg(c).alias(f"mean_{c}") for c in METRICS], F.avg("correlation").alias("mean_correlation"))
+    long = each.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("x")) for c in METRICS))).alias("m")).select(*keys, "m.metric", "m.x")
+    middle = medians(long, [*keys, "metric"], "x").groupBy(*keys).agg(*(F.max(F.when(F.col("metric") == c, F.col("median"))).alias(f"median_{c}") for c in METRICS))
+    cases = pairs.groupBy(*keys).agg(F.countDistinct("case_id").alias("cases"))
+    out = joined(joined(cases, ok, list(keys), "left"), middle, list(keys), "left")
+    return out.withColumn("success_rate", F.coalesce(F.col("ok"), F.lit(0)) / F.col("cases"))
 
 
 def native_generation(native: DataFrame, scales: DataFrame, truth: DataFrame, limit: float = 0.10) -> DataFrame:
@@ -59,7 +65,8 @@ def summary(evaluations: DataFrame) -> DataFrame:
     """One row: counts by status, means and medians of the metrics over successes."""
     ok = F.col("status") == "success"
     pick = lambda c: F.when(ok, F.col(c))
-    return evaluations.agg(F.count("*").alias("cases"), F.count_if(ok).alias("successful"), F.count_if(F.col("status") == "missing_series").alias("missing"), F.count_if(F.col("status") == "evaluation_error").alias("failed"), F.avg(pick("score")).alias("mean"), F.percentile(pick("score"), 0.5).alias("median"))
+    middle = medians(evaluations.where(ok), [], "score").select("median")  # one row, like the sums
+    return evaluations.agg(F.count("*").alias("cases"), F.count_if(ok).alias("successful"), F.count_if(F.col("status") == "missing_series").alias("missing"), F.count_if(F.col("status") == "evaluation_error").alias("failed"), F.avg(pick("score")).alias("mean")).crossJoin(middle)
 
 
 def reliability(results: DataFrame, *keys: str) -> DataFrame:

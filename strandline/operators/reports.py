@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..catalog import query
+from ..sources.blocks import joined
 from ..sources.series import rounded, rounded_sql
+from .quantiles import medians
 
 METHODS = ["Reference", "Ours", "Direct"]
 #: Failure labels in report order.
@@ -36,10 +38,12 @@ def records(spark, sf_dir: str) -> DataFrame:
 def aggregate(rows: DataFrame, *keys: str) -> DataFrame:
     """Success rate, mean and median score over valid cases, mean over all (missing counts 0), verdict rates."""
     ok, n = F.count_if(F.col("status") == "success"), F.count("*")
-    return rows.groupBy(*keys).agg(
-        n.alias("cases"), ok.alias("valid"), rounded(ok / n).alias("success_rate"), rounded(F.avg("score")).alias("mean_valid"), rounded(F.percentile("score", 0.5)).alias("median_valid"),
+    means = rows.groupBy(*keys).agg(
+        n.alias("cases"), ok.alias("valid"), rounded(ok / n).alias("success_rate"), rounded(F.avg("score")).alias("mean_valid"),
         rounded(F.sum(F.coalesce("score", F.lit(0.0))) / n).alias("mean_all"), rounded(F.count_if(F.col("verdict") == "consistent") / F.nullif(ok, F.lit(0))).alias("consistent_rate"),
     )
+    middle = medians(rows, list(keys), "score").select(*keys, rounded(F.col("median")).alias("median_valid"))
+    return joined(means, middle, list(keys))
 
 
 _AGG_SQL = f"""count(*) AS cases, count(score) AS valid, {rounded_sql('count(score) / count(*)::DOUBLE')} AS success_rate, {rounded_sql('avg(score)')} AS mean_valid, {rounded_sql('quantile_cont(score, 0.5)')} AS median_valid,
@@ -67,7 +71,9 @@ def a04(spark, sf_dir):
     rows = records(spark, sf_dir)
     base = rows.where("method = 'Reference'").select("case_id", F.col("score").alias("base"))
     x = F.coalesce(F.least(F.lit(1.0), F.col("score") / F.greatest("base", F.lit(0.25))), F.lit(0.0))
-    return rows.join(base, "case_id", "left").select("method", x.alias("x")).groupBy("method").agg(rounded(F.avg("x")).alias("mean"), rounded(F.percentile("x", 0.5)).alias("median"))
+    shares = rows.join(base, "case_id", "left").select("method", x.alias("x"))
+    middle = medians(shares, ["method"], "x").select("method", rounded(F.col("median")).alias("median"))
+    return joined(shares.groupBy("method").agg(rounded(F.avg("x")).alias("mean")), middle, ["method"])
 
 
 #: The wording of messages by which failures are told apart, and their buckets, in order.
