@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,19 +151,43 @@ def reprocess(saved: DataFrame, text: str = "text", reference: str = "reference"
 
 
 def write_rows(rows: DataFrame, path: str, kind: str = "jsonl") -> None:
-    """JSON Lines, CSV (arrays as JSON), or one JSON array or Markdown table where the rows are a report."""
+    """JSON Lines, CSV (arrays as JSON), or one JSON array or Markdown table for a report.
+
+    A folder of any store that Spark writes to. A report is one file, so one task writes it, row by row.
+    """
     if kind == "jsonl":
         rows.write.mode("overwrite").json(path)
     elif kind == "csv":
         flat = [F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in rows.dtypes]
         rows.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+    elif kind in ("json", "markdown"):
+        names = rows.columns
+        lines = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+        # a row without value makes sure of one task, also where there are no rows
+        lines = lines.unionByName(rows.sparkSession.range(1).select(F.lit(None).cast("string").alias("value"))).coalesce(1)
+
+        def report(frames: Iterator) -> Iterator:
+            import pandas as pd
+
+            head = ["["] if kind == "json" else markdown(names, []).splitlines()
+            first = True
+            for frame in (f.dropna() for f in frames):
+                if frame.empty:
+                    continue
+                if kind == "json":
+                    body = [("  " if first and i == 0 else ", ") + v for i, v in enumerate(frame["value"])]
+                else:
+                    body = markdown(names, map(json.loads, frame["value"])).splitlines()[2:]
+                yield pd.DataFrame({"value": head + body if first else body})
+                first = False
+            yield pd.DataFrame({"value": (head if first else []) + (["]"] if kind == "json" else [])}, dtype=str)
+
+        lines.mapInPandas(report, "value string").write.mode("overwrite").text(path)
     else:
-        body = [json.loads(r) for r in rows.limit(100_000).toJSON().collect()]
-        with open(path, "w") as out:
-            out.write(json.dumps(body, indent=2) + "\n" if kind == "json" else markdown(rows.columns, body))
+        raise ValueError(f"unknown kind {kind}")
 
 
-def markdown(columns: list[str], body: list[dict]) -> str:
+def markdown(columns: list[str], body: Iterable[dict]) -> str:
     line = lambda cells: "| " + " | ".join(str(c).replace("|", "\\|") for c in cells) + " |\n"
     return line(columns) + line(["---"] * len(columns)) + "".join(line([r.get(c, "") for c in columns]) for r in body)
 

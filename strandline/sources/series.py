@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import npy
+
 #: The base of the SQL oracles: one row for each point, and one list for each series.
 POINTS_SQL = "p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value AS v, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
 SERIES_SQL = "s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS s, count(*) AS n FROM events GROUP BY user_id)"
@@ -58,18 +57,8 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.col("value").contains("|")).select(F.trim(parts[0]).try_cast("int").alias("index"), F.trim(parts[1]).alias("description"))
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """Rows ``path, row, values`` of one- or two-dimensional NumPy files."""
-
-    def load(frames: Iterator) -> Iterator:
-        import numpy as np
-        import pandas as pd
-
-        for frame in frames:
-            out = []
-            for name, content in zip(frame["path"], frame["content"]):
-                data = np.atleast_2d(np.load(io.BytesIO(content), allow_pickle=False).astype(float))
-                out += [(name, i, row.tolist()) for i, row in enumerate(data)]
-            yield pd.DataFrame(out, columns=["path", "row", "values"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(load, "path string, row int, values array<double>")
+def read_npy(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Rows ``path, row, values`` of one- or two-dimensional NumPy files, read by ranges of rows (``sources.npy``)."""
+    npy.register(spark)
+    prune = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("npy").options(**{"prune": prune, **options}).load(path)
