@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import primitives as P
+from ..functions.fourier import spectrum
 from ..functions.primitives import Getter
 from ..sources.series import SERIES_SQL, rounded, rounded_sql, user_series
 
@@ -202,17 +203,6 @@ def check_change_point(s: Column, g: Getter) -> Column:
     return F.when(g("level_change").isNotNull(), graded(level, tol(g))).when(g("slope_change").isNotNull(), graded(bend, tol(g))).otherwise(cannot())
 
 
-def spectrum(x: Column) -> Column:
-    """(power, -bin) of each frequency of a centered segment; greatest() gives the strongest, first bin."""
-    n = F.size(x)
-
-    def power(k: Column, m: Column) -> Column:
-        part = lambda f: F.aggregate(F.transform(x, lambda v, i: (v - m) * f(2 * math.pi * k * i / n)), F.lit(0.0), lambda a, y: a + y)
-        return F.struct((F.pow(part(F.cos), 2) + F.pow(part(F.sin), 2)).alias("power"), (-k).alias("minus"))
-
-    return P.let(P.mean(x), lambda m: F.transform(F.sequence(F.lit(1), F.greatest(F.floor(n / 2).cast("int"), F.lit(1))), lambda k: power(k, m)))
-
-
 def check_seasonality(s: Column, g: Getter) -> Column:
     x = segment(s, g)
     amplitude = F.abs(g("amplitude"))
