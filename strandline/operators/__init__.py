@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("series_queries", "claims", "checkers", "metrics", "joins", "retrieval", "reports", "plan_queries", "blocks", "scoring", "baselines", "realcaption", "generate", "artifacts")
+MODULES = ("series_queries", "claims", "checkers", "metrics", "joins", "retrieval", "reports", "plan_queries", "blocks", "scoring", "baselines", "realcaption", "generate", "artifacts", "streams")
 
 
 def load() -> None:

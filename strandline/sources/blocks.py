@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 SIZE = 4096
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written once to the folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
     Only a local session may go without; it gets a temporary folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
