@@ -98,7 +98,7 @@ examples(
 )
 _LAYERED = plan(step("add_noise", "n", noise_scale=1), step("add_peak", "p", timestep=9, target_value=8), step("add_gap", "g", start_timestep=3), step("add_change_point", "c", anchor_timestep=12, level_change=1), step("add_ramp", "r", start_timestep=5, end_value=3), FLAT, step("add_spike", "k", timestep=1, amplitude=2))
 examples("l01_order", [(_LAYERED,), (plan(step("add_flat", "b", target_value=1), step("add_flat", "a", target_value=1)),), (plan(step("add_flat", "b", target_value=1, extra={"priority": 3}), step("add_trend", "a", slope=1, extra={"priority": 1})),)], ["c,s1,r,k,g,n,p", "b,a", "a,b"], lambda t: F.array_join(F.transform(L.ordered(steps_of(t)), lambda s: s["id"]), ","))
-examples("l02_program", [(plan(FLAT, step("add_seasonality", "s2", amplitude=2, period=7.5, waveform="cosine")),)], ["import numpy as np\nfrom atomic_timeseries import add_flat, add_seasonality\n\nseries = np.zeros(40, dtype=np.float64)\n\nseries = add_flat(series, target_value=5, start_timestep=0, end_timestep=39)\nseries = add_seasonality(series, amplitude=2, period=7.5, waveform='cosine')\n"], lambda t: L.program(steps_of(t), F.lit(40)))
+examples("l02_program", [(plan(FLAT, step("add_seasonality", "s2", amplitude=2, period=7.5, waveform="cosine")),)], ["import numpy as np\nfrom primitives import add_flat, add_seasonality\n\nseries = np.zeros(40, dtype=np.float64)\n\nseries = add_flat(series, target_value=5, start_timestep=0, end_timestep=39)\nseries = add_seasonality(series, amplitude=2, period=7.5, waveform='cosine')\n"], lambda t: L.program(steps_of(t), F.lit(40)))
 examples("l03_affected", [(plan(s),) for s in (FLAT, step("add_change_point", anchor_timestep=4, level_change=1), step("add_level_shift", start_timestep=6, shift=1), step("add_outlier", timestep=3, delta=1), step("add_spike", timestep=1, amplitude=2, half_width=3), step("add_peak", timestep=9, amplitude=1), step("add_level_shift", anchor_timestep=8, end_timestep=20, shift=1), step("add_noise", noise_scale=1, end_timestep=9))], ["0-39", "4-39", "6-39", "3-3", "0-4", "0-39", "8-20", "0-9"], lambda t: F.concat_ws("-", L.affected(F.get(steps_of(t), F.lit(0)), F.lit(40))["start"].cast("string"), L.affected(F.get(steps_of(t), F.lit(0)), F.lit(40))["end"].cast("string")))
 
 # Execution: plans by user_id, over as many timesteps as the user has events; series in closed form as the oracle.
@@ -195,7 +195,7 @@ def x08(spark, sf_dir):
     return done.select("user_id", "execution", "warning", F.col("series").isNotNull().alias("has_series"))
 
 
-_CODE = "import numpy as np\nfrom atomic_timeseries import add_flat, add_spike\nseries = np.zeros(40)\n"
+_CODE = "import numpy as np\nfrom primitives import add_flat, add_spike\nseries = np.zeros(40)\n"
 CODES = [
     (_CODE + "series = add_flat(series, target_value=1)\n", None), (_CODE, "contract_invalid"), ("import os\nseries = add_flat(series, target_value=1)", "contract_invalid"), (_CODE + "while True:\n    pass\n", "contract_invalid"), (_CODE + "series = add_flat(series)\n", "invalid_primitive_args"),
     (_CODE + "series = add_spike(series, timestep=2, amplitude=1, target_value=3)\n", "invalid_primitive_args"), (_CODE + "series = add_spike(series, timestep=2, amplitude=series[3])\n", "additive_as_setter"), ("series = (", "contract_invalid"), (_CODE + "x = add_flat(series, target_value=1)\n", "contract_invalid"), (_CODE + "series = add_ramp(series, end_value=1)\n", "contract_invalid"),

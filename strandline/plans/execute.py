@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions import primitives as P
 from ..functions.primitives import let
 from . import plan as L
-from .registry import PRIMITIVES, argument_error
+from .registry import PRIMITIVES, PROGRAM_MODULE, argument_error
 
 _NONE = "array<struct<id:string,values:array<double>>>"
 LARGEST = 10_000.0
@@ -139,7 +139,7 @@ def run_plans(plans: DataFrame, plan: str = "plan", length: str = "length") -> D
 _PLAIN = (ast.Module, ast.Import, ast.ImportFrom, ast.alias, ast.Assign, ast.Expr, ast.Name, ast.Load, ast.Store, ast.Constant, ast.Call, ast.keyword, ast.Attribute, ast.BinOp, ast.UnaryOp, ast.operator, ast.unaryop, ast.Subscript, ast.Slice, ast.List, ast.Tuple)
 
 
-def program_fault(code: str | None, allowed: list[str]) -> str | None:
+def program_fault(code: str | None, allowed: list[str], module: str = PROGRAM_MODULE) -> str | None:
     """The first reason to refuse a program, or None: only imports, and calls of allowed primitives assigned to ``series``."""
     try:
         tree = ast.parse(code or "")
@@ -151,7 +151,7 @@ def program_fault(code: str | None, allowed: list[str]) -> str | None:
             return "contract_invalid"
         if isinstance(node, ast.Import) and [(a.name, a.asname) for a in node.names] != [("numpy", "np")]:
             return "contract_invalid"
-        if isinstance(node, ast.ImportFrom) and (node.module != "atomic_timeseries" or {a.name for a in node.names} - set(allowed)):
+        if isinstance(node, ast.ImportFrom) and (node.module != module or {a.name for a in node.names} - set(allowed)):
             return "contract_invalid"
         if isinstance(node, ast.Call) and isinstance(node.func, ast.Name):
             if node.func.id not in allowed or node.func.id not in PRIMITIVES or any(k.arg is None for k in node.keywords):
@@ -169,13 +169,13 @@ def program_fault(code: str | None, allowed: list[str]) -> str | None:
     return None if called and kept else "contract_invalid"
 
 
-def check_programs(rows: DataFrame, code: str = "code", candidates: str = "candidates") -> DataFrame:
+def check_programs(rows: DataFrame, code: str = "code", candidates: str = "candidates", module: str = PROGRAM_MODULE) -> DataFrame:
     """Adds ``fault``; the texts are parsed in Arrow batches."""
     shape = T.StructType([*rows.schema.fields, T.StructField("fault", T.StringType())])
 
     def run(frames: Iterator) -> Iterator:
         for frame in frames:
-            yield frame.assign(fault=[program_fault(c, list(a)) for c, a in zip(frame[code], frame[candidates])])
+            yield frame.assign(fault=[program_fault(c, list(a), module) for c, a in zip(frame[code], frame[candidates])])
 
     return rows.mapInPandas(run, shape)
 

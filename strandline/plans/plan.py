@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .registry import ADD, PRIMITIVES, effect_of, layer_of
+from .registry import ADD, PRIMITIVES, PROGRAM_MODULE, effect_of, layer_of
 
 CONSTRAINT = "struct<kind:string,start:int,end:int,direction:string,timestep:int,value:double,tolerance:double>"
 CUE = "struct<kind:string,source_text:string,confidence:double>"
@@ -274,13 +274,13 @@ def ordered(steps: Column) -> Column:
     return F.transform(F.array_sort(keys), lambda k: F.get(own, k["i"]))
 
 
-def program(steps: Column, length: Column) -> Column:
-    """The ordered steps as program text."""
+def program(steps: Column, length: Column, module: str = PROGRAM_MODULE) -> Column:
+    """The ordered steps as program text that imports its primitives from ``module``."""
     order = ordered(steps)
     literal = lambda v: F.when(v.try_cast("double").isNotNull(), v).when(F.lower(v) == "true", "True").when(F.lower(v) == "false", "False").otherwise(F.concat(F.lit("'"), v, F.lit("'")))
     call = lambda s: F.concat(F.lit("series = "), s["primitive"], F.lit("(series, "), F.array_join(F.transform(F.map_entries(s["parameters"]), lambda e: F.concat(e["key"], F.lit("="), literal(e["value"]))), ", "), F.lit(")"))
     used = F.array_distinct(F.transform(order, lambda s: s["primitive"]))
-    imports = F.when(F.size(used) > 0, F.array(F.concat(F.lit("from atomic_timeseries import "), F.array_join(used, ", ")))).otherwise(F.array().cast("array<string>"))
+    imports = F.when(F.size(used) > 0, F.array(F.concat(F.lit(f"from {module} import "), F.array_join(used, ", ")))).otherwise(F.array().cast("array<string>"))
     head = F.array(F.lit(""), F.format_string("series = np.zeros(%d, dtype=np.float64)", length), F.lit(""))
     return F.concat(F.array_join(F.concat(F.array(F.lit("import numpy as np")), imports, head, F.transform(order, call)), "\n"), F.lit("\n"))
 

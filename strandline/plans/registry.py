@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 ADD, SET = "additive", "overwrite"
 
+#: The module from which generated programs import primitives, where a caller names no other.
+PROGRAM_MODULE = "primitives"
+
 #: Fixed values. name: (effect, default layer, catalog category, argument patterns any one of which must be
 #: given, mutually exclusive pairs)
 PRIMITIVES: dict[str, tuple[str, str, str | None, list[list[str]], list[tuple[str, str]]]] = {
