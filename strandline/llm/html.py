@@ -13,8 +13,11 @@ A branch of low importance is removed from each page of its host. A site of few
 way, and menus or adverts may differ on each page, so roles that markup states itself (nav, footer, form,
 class "ad" and the like, listed below) are removed as well, and where a page marks an article or main part,
 text outside it goes and all text inside it stays, whatever the tree says: headings that a host's articles
-share are text. Roles are whole class names or ids ("sidebar", not "has-sidebar"). Should the tree remove all of a page's text (hosts that repeat one page), it is
-ignored for that page.
+share are text. Of several articles that don't hold each other the longest is the page's, the first among equals;
+the others are teasers. A role is a class name or id of its own, or the last part of one with hyphens
+("site-header", but not "has-sidebar" or "tag-notice"), or the first where that can only be one ("comment-list"); on
+an article or main part whole names count only. Inline elements have roles too: their text goes, the rest of the
+block stays. Should the tree remove all of a page's text (hosts that repeat one page), it is ignored for that page.
 
 Only sums by host, node and text are shuffled. Nodes to remove go to all tasks where there are fewer than
 ``most_broadcast``; more are joined to the pages by host.
@@ -53,6 +56,9 @@ DROPPED_WORDS = frozenset(
     "subscription signup login register share sharing social comment comments commentlist reply replies respond disqus discussion related recommended recommendations widget widgets toolbar pagination "
     "pager paging search searchbox form tags tagcloud copyright skip paywall hidden".split()
 )
+#: First parts of names that qualify the rest, and first parts that name a role whatever follows.
+_QUALIFIERS = frozenset("has no not with without is hide show category tag post status format type page".split())
+_ROLE_FIRST = frozenset("ad ads advert advertisement sponsor sponsored comment comments reply breadcrumb breadcrumbs cookie cookies newsletter nav navbar menu sidebar footer share sharing social related".split())
 _HEADERS = frozenset("header masthead topbar banner".split())
 _MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?a-zA-Z][^>]*(?:>|\Z)", re.S | re.I)
 _ATTR = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -66,10 +72,10 @@ def _hash(text: str) -> int:
 
 
 class Block:
-    __slots__ = ("node", "text", "dropped", "main")
+    __slots__ = ("article", "dropped", "main", "node", "text")
 
-    def __init__(self, node: int, text: str, dropped: bool, main: bool):
-        self.node, self.text, self.dropped, self.main = node, text, dropped, main
+    def __init__(self, node: int, text: str, dropped: bool, main: bool, article: int):
+        self.node, self.text, self.dropped, self.main, self.article = node, text, dropped, main, article
 
 
 class Tree:
@@ -102,6 +108,23 @@ class Tree:
             node = self.parent[node]
 
 
+def _roles(names: set[str]) -> set[str]:
+    """The words of these names that state a role to drop."""
+    out = names & DROPPED_WORDS
+    for name in names:
+        parts = re.split(r"[-_]+", name)
+        if len(parts) > 1 and parts[0] not in _QUALIFIERS:
+            out |= {parts[-1]} & DROPPED_WORDS | {parts[0]} & _ROLE_FIRST
+    return out
+
+
+def _inline_role(attrs: str) -> bool:
+    """Whether an inline element states a role to drop."""
+    found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)}
+    hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
+    return hidden or found.get("role", "") in DROPPED_ROLES or bool(_roles(set(f"{found.get('class', '')} {found.get('id', '')}".split())))
+
+
 def _style(tag: str, attrs: str, in_main: bool) -> tuple[str, bool, bool]:
     """The node's name in the tree, whether markup states a role to drop, whether it is the main part."""
     if not attrs or attrs.isspace():
@@ -110,7 +133,7 @@ def _style(tag: str, attrs: str, in_main: bool) -> tuple[str, bool, bool]:
     role, names = found.get("role", ""), set(f"{found.get('class', '')} {found.get('id', '')}".split())
     if tag in ("html", "body"):
         return tag, False, False
-    bad = names & DROPPED_WORDS
+    bad = names & DROPPED_WORDS if tag in ("article", "main") else _roles(names)
     if in_main or tag in ("article", "main"):
         bad -= _HEADERS
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
@@ -122,7 +145,9 @@ def parse(page: str) -> tuple[list[Block], Tree]:
     """Text blocks in page order, and the page's style tree."""
     blocks: list[Block] = []
     tree = Tree()
-    stack: list[list] = [["", 0, False, False, []]]  # tag, node, dropped, main, child styles
+    stack: list[list] = [["", 0, False, False, [], 0]]  # tag, node, dropped, main, child styles, article
+    articles = 0
+    muted: list | None = None  # an inline element whose text goes: its tag, how often it is open, the stack's height
     opened: Counter = Counter()
     text: list[str] = []
 
@@ -131,11 +156,11 @@ def parse(page: str) -> tuple[list[Block], Tree]:
             own = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if own:
-                blocks.append(Block(stack[-1][1], own, stack[-1][2], stack[-1][3]))
+                blocks.append(Block(stack[-1][1], own, stack[-1][2], stack[-1][3], stack[-1][5]))
 
     def close(upto: int) -> None:
         while len(stack) > upto:
-            tag, node, _, _, children = stack.pop()
+            tag, node, _, _, children, _ = stack.pop()
             opened[tag] -= 1
             if children:
                 tree.shapes[node, tuple(children)] += 1
@@ -145,7 +170,9 @@ def parse(page: str) -> tuple[list[Block], Tree]:
 
     at = 0
     for m in _MARKUP.finditer(page):
-        if m.start() > at:
+        if muted and len(stack) < muted[2]:
+            muted = None  # it ends with the block that it is in
+        if m.start() > at and not muted:
             text.append(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
@@ -155,9 +182,16 @@ def parse(page: str) -> tuple[list[Block], Tree]:
             continue
         tag = tag.lower()
         if tag in INLINE:
+            if muted:
+                muted[1] += (tag == muted[0]) * (-1 if m["end"] else 1)
+                if not muted[1]:
+                    muted = None
+            elif not m["end"] and m["attrs"] and tag != "wbr" and _inline_role(m["attrs"]):
+                muted = [tag, 1, len(stack)]
             continue
         if tag == "br":
-            text.append(" ")
+            if not muted:
+                text.append(" ")
             continue
         flush()
         if m["end"]:
@@ -173,9 +207,12 @@ def parse(page: str) -> tuple[list[Block], Tree]:
         style, drop, main = _style(tag, m["attrs"], stack[-1][3])
         if not stack[-1][4] or stack[-1][4][-1] != style:
             stack[-1][4].append(style)
-        stack.append([tag, tree.child(stack[-1][1], style), stack[-1][2] or drop, stack[-1][3] or main, []])
+        article = stack[-1][5]
+        if tag == "article" and not drop and not article:
+            articles = article = articles + 1
+        stack.append([tag, tree.child(stack[-1][1], style), stack[-1][2] or drop, stack[-1][3] or main, [], article])
         opened[tag] += 1
-    if at < len(page):
+    if at < len(page) and not (muted and len(stack) >= muted[2]):
         text.append(page[at:])
     flush()
     close(1)
@@ -205,7 +242,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record(host=(host, pa.string()), node=(node, pa.int64()), kind=(kind, pa.int32()), feature=(feature, pa.int64()), size=(size, pa.int32()), n=(list(sums.values()), pa.int64()))
 
 
-def low_importance(pages: DataFrame, threshold: float = 0.2, least_pages: int = 5) -> DataFrame:
+def low_importance(pages: DataFrame, threshold: float = 0.2, least_pages: int = 2) -> DataFrame:
     """Rows ``host, node`` to remove; ``pages`` has ``host, html``."""
     counts = pages.mapInArrow(_tally, "host string, node long, kind int, feature long, size int, n long").groupBy("host", "node", "kind", "feature", "size").agg(F.sum("n").alias("n"))
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
@@ -228,7 +265,12 @@ def main_text(page: str | None, remove: frozenset[int] | set[int] = frozenset())
     blocks, tree = parse(page)
     blocks = [b for b in blocks if not b.dropped]
     if any(b.main for b in blocks):
-        return " ".join(b.text for b in blocks if b.main)
+        sizes: Counter = Counter()
+        for b in blocks:
+            if b.article:
+                sizes[b.article] += len(b.text)
+        own = min(sizes, key=lambda a: (-sizes[a], a), default=0)
+        return " ".join(b.text for b in blocks if b.main and b.article in (0, own))
     if remove and blocks:
         gone = [False] * len(tree.parent)
         for node in range(1, len(gone)):  # parents come before their children
@@ -237,7 +279,7 @@ def main_text(page: str | None, remove: frozenset[int] | set[int] = frozenset())
     return " ".join(b.text for b in blocks)
 
 
-def extract(pages: DataFrame, *, threshold: float = 0.2, least_pages: int = 5, most_broadcast: int = 500_000, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, *, threshold: float = 0.2, least_pages: int = 2, most_broadcast: int = 500_000, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Rows ``id, url, text`` for every page."""
     common.bounded_batches(pages)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
