@@ -117,11 +117,11 @@ PLANS = [
 ]
 
 
-def planned(spark, sf_dir):
-    """Rows ``user_id, n, k, plan``."""
+def planned(spark, sf_dir, of: tuple[int, ...] = tuple(range(len(PLANS)))):
+    """Rows ``user_id, n, k, plan``; ``of`` are the plans to deal out to the users."""
     users = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.count("*").cast("int").alias("n"))
-    text = F.element_at(F.array(*[F.lit(p) for p, _, _ in PLANS]), (F.col("user_id") % len(PLANS) + 1).cast("int"))
-    return users.select("user_id", "n", (F.col("user_id") % len(PLANS)).alias("k"), F.from_json(text, L.PLAN).alias("plan"))
+    k = F.get(F.array(*map(F.lit, of)), (F.col("user_id") % len(of)).cast("int"))
+    return users.select("user_id", "n", k.alias("k"), F.from_json(F.get(F.array(*[F.lit(p) for p, _, _ in PLANS]), k), L.PLAN).alias("plan"))
 
 
 def _closed(guarded: bool) -> str:
@@ -158,20 +158,20 @@ examples(
 )
 
 
-@query("x05_trace", f"WITH {POINTS_SQL}, s(id, j) AS (VALUES ('s1', 0), ('s3', 1), ('s2', 2)) SELECT user_id, s.id, s.j::INT AS step, {rounded_sql('sum(10 + CASE WHEN j >= 2 AND t = 5 THEN 4 WHEN j >= 2 AND t IN (4, 6) THEN 2 ELSE 0 END + CASE WHEN j >= 1 AND t BETWEEN 10 AND 20 THEN (t - 10) * 0.5::DOUBLE ELSE 0 END)')} AS total FROM p, s WHERE user_id % {len(PLANS)} = 0 GROUP BY user_id, s.id, s.j")
+@query("x05_trace", f"WITH {POINTS_SQL}, s(id, j) AS (VALUES ('s1', 0), ('s3', 1), ('s2', 2)) SELECT user_id, s.id, s.j::INT AS step, {rounded_sql('sum(10 + CASE WHEN j >= 2 AND t = 5 THEN 4 WHEN j >= 2 AND t IN (4, 6) THEN 2 ELSE 0 END + CASE WHEN j >= 1 AND t BETWEEN 10 AND 20 THEN (t - 10) * 0.5::DOUBLE ELSE 0 END)')} AS total FROM p, s GROUP BY user_id, s.id, s.j")
 def x05(spark, sf_dir):
     """The series after each step, here by their sums."""
-    rows = planned(spark, sf_dir).where("k = 0").select("user_id", F.posexplode(X.replay(F.col("plan.steps"), F.col("n"))["trace"]).alias("step", "x"))
+    rows = planned(spark, sf_dir, of=(0,)).select("user_id", F.posexplode(X.replay(F.col("plan.steps"), F.col("n"))["trace"]).alias("step", "x"))
     return rows.select("user_id", F.col("x.id").alias("id"), "step", rounded(F.aggregate("x.values", F.lit(0.0), lambda a, v: a + v)).alias("total"))
 
 
-@query("x06_steps_summary", f"WITH {POINTS_SQL}, s(id, j) AS (VALUES ('s1', 0), ('s3', 1), ('s2', 2)), v AS (SELECT user_id, id, t, 10 + CASE WHEN j >= 2 AND t = 5 THEN 4 WHEN j >= 2 AND t IN (4, 6) THEN 2 ELSE 0 END + CASE WHEN j >= 1 AND t BETWEEN 10 AND 20 THEN (t - 10) * 0.5::DOUBLE ELSE 0 END AS v FROM p, s WHERE user_id % {len(PLANS)} = 0) SELECT user_id, id, {rounded_sql('min(v)')} AS low, {rounded_sql('max(v)')} AS high, {rounded_sql('avg(v)')} AS mean, {rounded_sql('stddev_pop(v)')} AS std FROM v GROUP BY user_id, id")
+@query("x06_steps_summary", f"WITH {POINTS_SQL}, s(id, j) AS (VALUES ('s1', 0), ('s3', 1), ('s2', 2)), v AS (SELECT user_id, id, t, 10 + CASE WHEN j >= 2 AND t = 5 THEN 4 WHEN j >= 2 AND t IN (4, 6) THEN 2 ELSE 0 END + CASE WHEN j >= 1 AND t BETWEEN 10 AND 20 THEN (t - 10) * 0.5::DOUBLE ELSE 0 END AS v FROM p, s) SELECT user_id, id, {rounded_sql('min(v)')} AS low, {rounded_sql('max(v)')} AS high, {rounded_sql('avg(v)')} AS mean, {rounded_sql('stddev_pop(v)')} AS std FROM v GROUP BY user_id, id")
 def x06(spark, sf_dir):
     """Summaries after each step of a guarded replay without gap allowance or constraints."""
     from ..functions import primitives as P
 
     done = X.execute(F.col("plan.steps"), F.col("n"), gaps_allowed=False, protect=False, traced=True)
-    rows = planned(spark, sf_dir).where("k = 0").select("user_id", F.explode(done["trace"]).alias("x"))
+    rows = planned(spark, sf_dir, of=(0,)).select("user_id", F.explode(done["trace"]).alias("x"))
     v = F.col("x.values")
     return rows.select("user_id", F.col("x.id").alias("id"), rounded(F.array_min(v)).alias("low"), rounded(F.array_max(v)).alias("high"), rounded(P.mean(v)).alias("mean"), rounded(P.stddev(v)).alias("std"))
 
@@ -184,12 +184,13 @@ def x07(spark, sf_dir):
 
 
 _DECLINED = 1
+_RUN = (0, _DECLINED, 2, 7)
 
 
-@query("x08_run_plans", f"SELECT user_id, CASE WHEN user_id % {len(PLANS)} = {_DECLINED} THEN 'rejected' WHEN n <> 60 THEN 'fallback' ELSE 'ok' END AS execution, CASE WHEN n <> 60 AND user_id % {len(PLANS)} <> {_DECLINED} THEN 'plan_invalid:length' END AS warning, user_id % {len(PLANS)} <> {_DECLINED} AS has_series FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) WHERE user_id % {len(PLANS)} IN (0, 1, 2, 7)")
+@query("x08_run_plans", f"SELECT user_id, CASE WHEN k = {_DECLINED} THEN 'rejected' WHEN n <> 60 THEN 'fallback' ELSE 'ok' END AS execution, CASE WHEN n <> 60 AND k <> {_DECLINED} THEN 'plan_invalid:length' END AS warning, k <> {_DECLINED} AS has_series FROM (SELECT user_id, count(*) AS n, {list(_RUN)}[1 + user_id % {len(_RUN)}] AS k FROM events GROUP BY user_id)")
 def x08(spark, sf_dir):
     """Declined plans have no series; refused ones run in listed order with a warning."""
-    rows = planned(spark, sf_dir).where("k in (0, 1, 2, 7)")
+    rows = planned(spark, sf_dir, of=_RUN)
     p = F.col("plan").withField("global_context.length", F.lit(60)).withField("needs_library_extension", F.col("k") == _DECLINED)
     done = X.run_plans(rows.withColumn("plan", p), length="n")
     return done.select("user_id", "execution", "warning", F.col("series").isNotNull().alias("has_series"))

@@ -440,11 +440,11 @@ CASES = [
 ]
 
 
-def gold_cases(spark, sf_dir) -> DataFrame:
-    """Rows of each user's case: ``user_id, k, description, length, features, unsupported, plan, series``."""
+def gold_cases(spark, sf_dir, of: tuple[int, ...] = tuple(range(len(CASES)))) -> DataFrame:
+    """Rows of each user's case: ``user_id, k, description, length, features, unsupported, plan, series``; ``of`` are the cases to deal out."""
     users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
     table = spark.createDataFrame([(i, o, p, u) for i, (o, p, u) in enumerate(CASES)], "k int, outline string, made string, unsupported array<string>")
-    rows = users.withColumn("k", (F.col("user_id") % len(CASES)).cast("int")).join(F.broadcast(table), "k").withColumns({"description": F.lit(_GOLD_TEXT), "length": F.lit(40)})
+    rows = users.withColumn("k", F.get(F.array(*map(F.lit, of)), (F.col("user_id") % len(of)).cast("int"))).join(F.broadcast(table), "k").withColumns({"description": F.lit(_GOLD_TEXT), "length": F.lit(40)})
     rows = rows.withColumns({"features": spec_features(steps_of(F.col("outline")), F.array(F.lit("add_dip")), F.col("description"), F.col("length")), "plan": F.from_json("made", L.PLAN)})
     series = X.execute(F.col("plan.steps"), F.col("length"))["values"]
     return rows.withColumn("series", F.when(~L.rejected(F.col("plan")), series)).select("user_id", "k", "description", "length", "features", "unsupported", "plan", "series")
