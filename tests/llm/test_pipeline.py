@@ -35,11 +35,15 @@ def folder(spark, tmp_path_factory):
     return str(out)
 
 
-def test_run_with_clashing_names(spark, folder):
+@pytest.fixture(scope="module")
+def plain(spark, folder):
+    return corpus_pipeline.run(spark, folder)
+
+
+def test_run_with_clashing_names(spark, folder, plain):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     own = {f.split()[0].strip("`"): f.split()[1] for f in CLASHING.split(", ")}
     clashing = docs.select("*", *(F.lit("7").cast(kind).alias(name) for name, kind in own.items()))
-    plain = corpus_pipeline.run(spark, folder)
     mixed = corpus_pipeline.run_on(spark, clashing, folder)
     assert plain.columns == [*docs.columns, "copies", "taken"]
     assert mixed.columns == [*clashing.columns, "copies_", "taken_"]
@@ -50,8 +54,8 @@ def test_run_with_clashing_names(spark, folder):
     assert all(str(r[c]) == "7" for r in mixed.collect() for c in own)
 
 
-def test_run_catches_what_is_planted(spark, folder):
-    got = corpus_pipeline.run(spark, folder).collect()
+def test_run_catches_what_is_planted(spark, folder, plain):
+    got = plain.collect()
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     ids = {r["doc_id"] for r in got}
     assert not ids & {200, 201, 202, 301, 302, 500, 501, 502}
@@ -70,8 +74,7 @@ def test_empty_tables(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("texts", [lambda i: "a b c d", lambda i: f"w{i} b c d"])
-@pytest.mark.parametrize("ids", [lambda i: 7, lambda i: None, lambda i: i // 50])
+@pytest.mark.parametrize(("texts", "ids"), [(lambda i: "a b c d", lambda i: 7), (lambda i: f"w{i} b c d", lambda i: None), (lambda i: f"w{i} b c d", lambda i: i // 50)])
 def test_mix_of_repeated_ids(spark, texts, ids):
     rows = [(ids(i), texts(i), "shared") for i in range(100)] + [(1000 + i, "a b c d", "apart") for i in range(100)] + [(1, "x " * 50, None)] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
