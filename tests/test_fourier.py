@@ -1,7 +1,5 @@
 """The transform against NumPy's, for powers of two, primes and long arrays; the strongest frequency against sums."""
 
-import time
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -24,7 +22,7 @@ def strongest(x):
     return 1 + int(np.flatnonzero(power >= power.max() * (1 - 1e-9))[0])
 
 
-@pytest.mark.parametrize("lengths", [range(3, 200, 7), [499, 1000, 2048, 4999, 9973, 10_000]])
+@pytest.mark.parametrize("lengths", [range(3, 200, 7), [499, 1024, 4999, 10_000]])
 def test_first_strongest_frequency(spark, lengths):
     rng, rows = np.random.default_rng(5), []
     for n in lengths:
@@ -32,9 +30,7 @@ def test_first_strongest_frequency(spark, lengths):
         k = int(rng.integers(1, max(n // 2, 1) + 1))
         rows.append((n, (5 + 2 * np.sin(2 * np.pi * k * t / n + 0.4) + rng.normal(0, 0.3, n))))
     table = spark.createDataFrame([(n, x.tolist()) for n, x in rows], "n int, x array<double>").repartition(4)
-    began = time.perf_counter()
     got = {r["n"]: -r["best"]["minus"] for r in table.select("n", F.array_max(fourier.spectrum(F.col("x"))).alias("best")).collect()}
-    print(time.perf_counter() - began)
     assert got == {n: strongest(x) for n, x in rows}
 
 
