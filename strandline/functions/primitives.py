@@ -242,8 +242,9 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def stddev(values: Column) -> Column:
-    """Population standard deviation, from the mean."""
-    return let(mean(values), lambda m: F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.greatest(F.size(values), F.lit(1))))
+    """Population standard deviation; from differences to the first value, so that equal values give exactly 0."""
+    from_first = let(values, lambda x: F.transform(x, lambda v: v - F.get(x, F.lit(0))))
+    return let(from_first, lambda d: let(mean(d), lambda m: F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.greatest(F.size(d), F.lit(1)))))
 
 
 def window(s: Column, a: Column, b: Column) -> Column:
