@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,39 @@ def test_quality(spark, docs, none):
     assert quality.score(none, model).count() == 0
 
 
+def test_quality_learns_from_every_row(spark):
+    """More labelled rows of a class than the 1500 that fits were once cut to: moments, loss and threshold are those of all."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(("alpha", "beta", "gam ma", "x1", "~~", "9 9")[i % 3 :]) for _ in range(3 + i % 7))) for i in range(5200)]
+    good = np.array([i % 13 > 3 for i, _ in rows])
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame([(i, int(g)) for (i, _), g in zip(rows, good)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, F.lit(True))
+    x = quality.features(pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], ["text"]))
+    assert x.shape[1] == quality.WIDTH
+    assert np.allclose(model.mean, x.mean(axis=0, dtype=np.float64), atol=1e-7) and np.allclose(model.scale, np.maximum(x.std(axis=0, dtype=np.float64), 1e-6), rtol=1e-3, atol=1e-7)
+    raw = np.sort(model.raw(x))
+    bad = int((~good).sum())
+    assert model.threshold == pytest.approx((raw[bad - 1] + raw[bad]) / 2, abs=1e-9)
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    share = np.zeros(len(rows))
+    raw = z @ model.weights
+    for i in np.flatnonzero(good):  # every pair
+        lost = 1 / (1 + np.exp(raw[i] - raw[~good]))
+        share[i] -= lost.mean() / good.sum()
+        share[~good] += lost / good.sum() / bad
+    assert np.linalg.norm(share @ z + 0.02 * model.weights) < 0.01  # no step lowers the loss of all pairs
+
+
+def test_quality_pairs_against_brute_force():
+    rng = np.random.default_rng(4)
+    raw, good = rng.normal(0, 3, 500), rng.random(500) < 0.7
+    pairs = quality.Pairs.of(quality._counts(raw, good))
+    gap = raw[~good][:, None] - raw[good][None, :]
+    assert pairs.loss == pytest.approx(np.logaddexp(0, gap).mean(), rel=1e-4)
+    lost = 1 / (1 + np.exp(-gap))
+    assert np.allclose(pairs.slope(raw, good)[good], -lost.mean(axis=0), atol=1e-4) and np.allclose(pairs.slope(raw, good)[~good], lost.mean(axis=1), atol=1e-4)
+
+
 def test_language(spark, none):
     rows = [(i, "der die das und ist nicht", "de") for i in range(5)] + [(i + 10, "the and of is not", "en") for i in range(5)] + [(20, None, "en"), (21, "123 !", "en"), (22, "nicht", None), (23, "日本", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
