@@ -8,8 +8,9 @@ occurs. Files are written and read by Spark (its text writer puts the bytes and
 takes them), so any store that Spark reaches will do, and a task that is repeated leaves no half-written file.
 
 Tokenising is by the tokenizers library. Its byte-level pattern always cuts before a space that a visible
-character follows, so a text is the sequence of such pieces; distinct pieces of a chunk are tokenised once and
-the pieces of earlier chunks are remembered, up to ``KNOWN_BYTES``.
+character follows, between a letter or digit and a mark (but not after an apostrophe), and around a line feed
+that stands alone between visible characters, so a text is the sequence of such pieces; distinct pieces of a
+chunk are tokenised once and the pieces of earlier chunks are remembered, up to ``KNOWN_BYTES``.
 
 Defined cases: a null or empty text is the end token alone; ids may be null (first) or repeated: rows of one id
 are ordered by a hash of their text, equal rows by their place in the input; invalid UTF-8 is replaced by U+FFFD;
@@ -47,6 +48,41 @@ SUPERBLOCK = 512
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = _VISIBLE[0xC3:0xF5] = True
 _VISIBLE[0xE1:0xE4] = False
+_MARK = np.zeros(256, bool)
+_MARK[0x21:0x7F] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+_MARK &= ~_ALNUM
+
+
+def _letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that surely begin, and that surely end, a letter or digit: ASCII and U+00C0 to U+017F."""
+    begin = _ALNUM[data]
+    end = begin.copy()
+    if len(data) > 1:
+        lead, rest = data[:-1], data[1:]
+        wide = (lead >= 0xC3) & (lead <= 0xC5)
+        at = np.flatnonzero(wide)
+        at = at[(lead[at] != 0xC3) | (rest[at] >= 0x80) & (rest[at] != 0x97) & (rest[at] != 0xB7)]
+        begin[at] = end[at + 1] = True
+    return begin, end
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 text at which the tokenizer's pattern surely begins anew, each by the bytes around it."""
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data) < 2:
+        return cut
+    begin, end = _letters(data)
+    mark = _MARK[data]
+    inner = cut[1:-1]
+    inner |= end[:-1] & mark[1:]
+    inner |= mark[:-1] & (data[:-1] != 39) & begin[1:]
+    cut[:-2] |= (data[:-1] == 32) & _VISIBLE[data[1:]]
+    line = np.flatnonzero(data[1:-1] == 10) + 1
+    line = line[(end | mark)[line - 1] & (begin | mark)[line + 1]]
+    cut[line] = cut[line + 1] = True
+    return cut
 
 
 class Tokenizer:
@@ -69,28 +105,49 @@ class Tokenizer:
         self.known = pa.array([], pa.binary())
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, pieces: pa.Array) -> None:
+    def _run(self, data: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of pieces that stand in a row and are tokenised as if each stood alone, and how many each has."""
+        counts, found, i = np.zeros(len(at) - 1, np.int64), [], 0
+        while i < len(counts):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + _PIECE, "right")) - 1)
+            ids = np.array(self.library.encode_batch_fast([data[at[i] : at[j]].tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+            counts[i:j] = np.diff(np.searchsorted(np.cumsum(self.width[ids]), at[i : j + 1] - at[i], "right"))
+            found.append(ids)
+            i = j
+        return found, counts
+
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Remembers new pieces and gives their places among the known."""
         data, at = words.buffer_of(pieces)
+        begin, end = _letters(data)
+        mark, head, last = _MARK[data], at[:-1], at[1:] - 1
         spaced = np.zeros(len(pieces), bool)
         long = np.flatnonzero(np.diff(at) > 1)
         spaced[long] = (data[at[long]] == 32) & _VISIBLE[data[at[long] + 1]]
-        order = np.concatenate([np.flatnonzero(~spaced), np.flatnonzero(spaced)])
-        pieces, alone = pieces.take(pa.array(order)), int((~spaced).sum())
+        # visible at both ends: a line feed before each keeps them apart
+        lined = ~spaced & (begin | mark)[head] & (end | mark)[last]
+        groups = [np.flatnonzero(x) for x in (~spaced & ~lined, lined, spaced)]
+        order = np.concatenate(groups)
+        pieces, counts, found = pieces.take(pa.array(order)), [], []
         data, at = words.buffer_of(pieces)
+        alone, own = len(groups[0]), len(groups[0]) + len(groups[1])
         texts = [data[at[i] : at[i + 1]].tobytes().decode() for i in range(alone)]
-        counts = np.zeros(len(pieces), np.int64)
-        found = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-        counts[:alone] = [len(x) for x in found]
-        i = alone
-        while i < len(pieces):
-            j = max(i + 1, int(np.searchsorted(at, at[i] + _PIECE, "right")) - 1)
-            ids = np.array(self.library.encode_batch_fast([data[at[i] : at[j]].tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
-            counts[i:j] = np.diff(np.searchsorted(np.cumsum(self.width[ids]), at[i : j + 1] - at[i], "right"))
-            found.append(ids)
-            i = j
-        self.flat = np.concatenate([self.flat, *found])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+        if texts:
+            found = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        counts.append(np.array([len(x) for x in found], np.int64))
+        if own > alone:
+            first = at[alone : own + 1] - at[alone]
+            ids, many = self._run(np.insert(data[at[alone] : at[own]], first[:-1], 10), first + np.arange(len(first)))
+            flat = np.concatenate(ids)
+            found.append(np.delete(flat, np.cumsum(many) - many))
+            counts.append(many - 1)
+        ids, many = self._run(data[at[own] :], at[own:] - at[own])
+        self.flat = np.concatenate([self.flat, *found, *ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([*counts, many]))])
+        place = np.empty(len(order), np.int64)
+        place[order] = len(self.known) + np.arange(len(order))
         self.known = pa.concat_arrays([self.known, pieces])
+        return place
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and n + 1 positions at which the texts begin."""
@@ -101,18 +158,19 @@ class Tokenizer:
             data, at = words.buffer_of(pa.array([data[a:b].tobytes().decode(errors="replace") for a, b in zip(at[:-1], at[1:])], pa.string()))
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-        cut = np.zeros(len(data) + 1, bool)
+        cut = _cuts(data)
+        tails = at[1:-1][at[1:-1] > 0] - 1
+        cut[tails[data[tails] == 32]] = False  # what follows a text's last space is not of that text
         cut[at] = True
-        cut[:-2] |= (data[:-1] == 32) & _VISIBLE[data[1:]]
         places = np.flatnonzero(cut)
         pieces = pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
         if self.known.nbytes > KNOWN_BYTES:
             self.forget()
         where = pc.index_in(pieces.dictionary, value_set=self.known)
+        found = where.fill_null(-1).to_numpy().astype(np.int64)
         if where.null_count:
-            self._learn(pieces.dictionary.filter(where.is_null()))
-            where = pc.index_in(pieces.dictionary, value_set=self.known)
-        each = where.to_numpy()[pieces.indices.to_numpy()]
+            found[found < 0] = self._learn(pieces.dictionary.filter(where.is_null()))
+        each = found[pieces.indices.to_numpy()]
         sizes = np.diff(self.ends)[each]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.repeat(self.ends[each] - ends[:-1], sizes) + np.arange(ends[-1])]
@@ -169,6 +227,11 @@ class Plane:
         return word * 64 + at
 
 
+def _zeros_first(bits: np.ndarray) -> np.ndarray:
+    """The places of zeros, then those of ones: much faster to take by than two masks."""
+    return np.concatenate([np.flatnonzero(~bits), np.flatnonzero(bits)])
+
+
 class Wavelet:
     """A wavelet matrix: token access, counting and occurrences."""
 
@@ -178,11 +241,12 @@ class Wavelet:
     @classmethod
     def build(cls, tokens: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Packed planes, the highest bit first; after each, zeros stand before ones."""
-        parts = []
-        for b in reversed(range(max(1, int(tokens.max(initial=0)).bit_length()))):
-            bits = (tokens >> np.uint32(b)) & np.uint32(1) == 1
+        parts, width = [], max(1, int(tokens.max(initial=0)).bit_length())
+        tokens = tokens.astype(np.uint16 if width <= 16 else np.uint32)
+        for b in reversed(range(width)):
+            bits = tokens & tokens.dtype.type(1 << b) != 0
             parts.append(Plane.pack(bits))
-            tokens = np.concatenate([tokens[~bits], tokens[bits]])
+            tokens = tokens.take(_zeros_first(bits))
         return parts
 
     def access(self, at: np.ndarray) -> np.ndarray:
@@ -196,13 +260,15 @@ class Wavelet:
 
     def tokens(self) -> np.ndarray:
         """All tokens: planes are undone from the lowest bit up."""
-        out = np.zeros(self.size, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        out = np.zeros(self.size, kind)
         for b, plane in enumerate(reversed(self.planes)):
             bits = plane.bits().astype(bool)
             back = np.empty_like(out)
-            back[~bits], back[bits] = out[: plane.zeros], out[plane.zeros :] | np.uint32(1 << b)
+            out[plane.zeros :] |= kind(1 << b)
+            back[_zeros_first(bits)] = out
             out = back
-        return out
+        return out.astype(np.uint32)
 
     def _span(self, token: int, low: int, high: int) -> tuple[int, int]:
         if token >> len(self.planes):
@@ -277,7 +343,7 @@ def _shards(definition, end_token: int, shard_tokens: int):
             return packing.record(content=([pack_shard(part, number, start, ids, np.cumsum(np.concatenate(sizes)), flat)], pa.binary()))
 
         for batch in batches:
-            for chunk in words.chunks(batch, "text"):
+            for chunk in words.chunks(batch, "text", common.BATCH_BYTES):
                 plain, first = tokenizer.encode(chunk.column("text"))
                 flat = np.insert(plain, first[1:], np.uint32(end_token))
                 first = first + np.arange(len(first))

@@ -85,6 +85,26 @@ def test_remembered_pieces_change_nothing(plain, monkeypatch):
     assert own.encode(broken)[0].tolist() == plain.encode("a � ").ids
 
 
+def test_words_are_learnt_without_their_marks():
+    """Words are remembered apart from marks and line feeds beside them, and texts get the library's own ids."""
+    import pyarrow as pa
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    own, library = tokens.Tokenizer(definition), Tokenizer.from_str(definition)
+    library.encode_special_tokens = True
+    word = ["alpha", "añb", "ñandú", "x7"]
+    own.encode(pa.array([" " + w + mark + " " + w for w in word for mark in (",", ".", "!", "%%%", "-", ".)", ").\n" + w)]))
+    assert len(own.known) < 20
+    own.forget()
+    signs = ["a", "Z", "s", "t", "ll", "'", "'s", ".", ",", "%%%", "-", "7", " ", "  ", "\n", "\n\n", "\t", "\r", "é", "ñ", "×", "÷", "Ā", "ſ", "ƀ", "ª", "\u00a0", "\u0301", "日", "😀", "<|endoftext|>", "\x00", "\x85", "\u3000"]
+    rng = random.Random(3)
+    for _ in range(40):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(14))) for _ in range(200)]
+        ids, first = own.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # ---------------------------------------------------------------- repair
 
 FOLLOW = {"": "su", "s": "u", "u": "a", "a": "u"}
