@@ -242,9 +242,14 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def stddev(values: Column) -> Column:
-    """Population standard deviation; from differences to the first value, so that equal values give exactly 0."""
-    from_first = let(values, lambda x: F.transform(x, lambda v: v - F.get(x, F.lit(0))))
-    return let(from_first, lambda d: let(mean(d), lambda m: F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.greatest(F.size(d), F.lit(1)))))
+    """Population standard deviation; the mean is updated value by value, so that equal values give exactly 0."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def add(a: Column, x: Column) -> Column:
+        off, n = x - a["mean"], a["n"] + 1.0
+        return F.struct(n.alias("n"), (a["mean"] + off / n).alias("mean"), (a["squares"] + off * (x - (a["mean"] + off / n))).alias("squares"))
+
+    return F.aggregate(values, start, add, lambda a: F.sqrt(a["squares"] / F.greatest(a["n"], F.lit(1.0))))
 
 
 def window(s: Column, a: Column, b: Column) -> Column:
